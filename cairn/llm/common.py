@@ -184,3 +184,43 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str |
                     yield out
 
     return run
+
+
+class IdFilter:
+    """A Bloom filter of a long column with a fixed size: 2**26 bits, whatever the table holds.
+
+    Tasks set bits in 32,768-bit pieces, which are OR-ed by piece; at most 2,048 pieces (8 MB)
+    come to the driver and are broadcast. It may let other ids pass (all of them, when it is
+    overfull), but never holds one back, so what follows must still join.
+    """
+
+    BITS, PIECE = 1 << 26, 1 << 15
+
+    def __init__(self, ids: DataFrame, column: str) -> None:
+        bits, piece = self.BITS, self.PIECE
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.concatenate(_probes(b.column(0).to_numpy(), bits)) for b in batches)]))
+            group, start = np.unique(at // piece, return_index=True)
+            maps = []
+            for s, e in zip(start, np.append(start[1:], len(at))):
+                m = np.zeros(piece, np.uint8)
+                m[at[s:e] % piece] = 1
+                maps.append(np.packbits(m, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(maps, pa.binary())], names=["g", "m"])
+
+        marked = ids.select(column).where(F.col(column).isNotNull()).mapInArrow(mark, "g long, m binary")
+        self.bitmap = np.zeros(bits // 8, np.uint8)
+        for r in marked.groupBy("g").agg(F.bitmap_or_agg("m").alias("m")).collect():
+            self.bitmap[r.g * (piece // 8) : (r.g + 1) * (piece // 8)] = np.frombuffer(r.m, np.uint8)
+
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(ids), bool)
+        for at in _probes(ids, self.BITS):
+            ok &= (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return ok
+
+
+def _probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    return [(h & np.uint64(bits - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64)]
