@@ -11,33 +11,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, piece_hashes, steps, text_buffer, words
+from .common import mix, piece_hashes, steps, store, text_buffer, words
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 _CLASS[65:91] += 32
 
 
-def word_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of every text's words (runs of letters, lower-cased in ASCII) and their offsets."""
+PREFIXES = (5, 6, 7, 8)
+
+
+def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature hash) for every word's occurrence, and each text's number of words.
+
+    Words are runs of letters, lower-cased in ASCII. A word gives itself and its beginnings of
+    5 to 8 bytes, so that families of inflected or compounded words are seen as one.
+    """
     low = _CLASS[raw]
     start, end, woff = words(low, off)
-    h = piece_hashes(low, start, end)
     row = np.repeat(np.arange(len(off) - 1), np.diff(woff))
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(len(off)))
+    rows, found = [row], [piece_hashes(low, start, end)]
+    size, h = end - start, np.zeros(len(start), np.uint64)
+    for k in range(max(PREFIXES)):
+        at = size > k
+        h[at] = h[at] * np.uint64(0x100000001B3) + low[start[at] + k].astype(np.uint64) + np.uint64(1)
+        if k + 1 in PREFIXES:
+            more = size > k + 1
+            rows.append(row[more])
+            found.append(mix(h[more] + np.uint64(k)))
+    return np.concatenate(rows), np.concatenate(found), np.diff(woff)
+
+
+def counted(row: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, feature) with the number of occurrences."""
+    order = np.lexsort((x, row))
+    row, x = row[order], x[order]
+    first = np.flatnonzero(np.append(np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (row[1:] != row[:-1])))
+    return row[first], x[first], np.diff(np.append(first, len(x)))
 
 
 @dataclass
 class Linear:
-    """Logistic regression on word presence and on earlier categories' log-odds."""
+    """Logistic regression on the design of a vocabulary and on earlier categories' log-odds."""
 
     vocab: np.ndarray
-    weights: np.ndarray  # of the words, then of the earlier categories
+    weights: np.ndarray  # of the design's columns, then of the earlier categories
     bias: float
 
 
@@ -54,12 +72,16 @@ def _select(x: np.ndarray, row: np.ndarray, y: np.ndarray, size: int, least: flo
     return np.sort(vocab[best[chi[best] >= least]])
 
 
-def _design(x: np.ndarray, row: np.ndarray, n: int, vocab: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, len(vocab)))
-    if len(vocab):
-        at = np.minimum(np.searchsorted(vocab, x), len(vocab) - 1)
+def _design(x: np.ndarray, row: np.ndarray, count: np.ndarray, n_words: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Per vocabulary entry: presence and log count; and the log length, against which counts are weighed."""
+    n, v = len(n_words), len(vocab)
+    out = np.zeros((n, 2 * v + 1))
+    if v and len(x):
+        at = np.minimum(np.searchsorted(vocab, x), v - 1)
         hit = vocab[at] == x
         out[row[hit], at[hit]] = 1
+        out[row[hit], v + at[hit]] = np.log1p(count[hit])
+    out[:, -1] = np.log1p(n_words) / 4
     return out
 
 
@@ -72,7 +94,7 @@ def _fit(a: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -87,31 +109,31 @@ class Chain:
     names: list[str]
     links: list[Linear]
 
-    def predict(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def predict(self, row: np.ndarray, x: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         """A probability a text and category; each link sees the log-odds of the links before."""
-        n = len(off) - 1
-        row = np.repeat(np.arange(n), np.diff(off))
+        n = len(n_words)
         out = np.zeros((n, len(self.links)))
+        every = np.unique(np.concatenate([k.vocab for k in self.links]))
+        if len(every) and len(x):
+            known = every[np.minimum(np.searchsorted(every, x), len(every) - 1)] == x
+            row, x = row[known], x[known]
+        row, x, count = counted(row, x)
         for k, link in enumerate(self.links):
-            score = np.full(n, link.bias)
-            size = len(link.vocab)
-            if size and len(x):
-                at = np.minimum(np.searchsorted(link.vocab, x), size - 1)
-                hit = link.vocab[at] == x
-                score += np.bincount(row[hit], link.weights[at[hit]], minlength=n)
-            score += _logit(out[:, :k]) @ link.weights[size:]
+            size = 2 * len(link.vocab) + 1
+            score = link.bias + _design(x, row, count, n_words, link.vocab) @ link.weights[:size] + _logit(out[:, :k]) @ link.weights[size:]
             out[:, k] = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, folds: int = 5, vocab: int = 200, least_chi: float = 25.0, ridge: float = 1.0) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 10_000, folds: int = 5, vocab: int = 120, least_rows: int = 4, least_chi: float = 25.0, ridge: float = 0.1) -> Chain:
     """Fit the chain on a bounded sample of labelled rows.
 
     ``categories`` maps a name to a boolean of ``labels``' columns; their order is the chain's.
     At most about ``max_rows`` labels are taken, by a hash of the id; that sample alone is
     broadcast to find its texts. Later categories are trained with the earlier ones'
     out-of-fold log-odds, for which words are selected anew in every fold; the links used for
-    prediction are then fitted on all sampled rows. Labels that are null (or whose text is) teach
+    prediction are then fitted on all sampled rows. Features in fewer than ``least_rows`` texts
+    of the sample are dropped before it is collected. Labels that are null (or whose text is) teach
     nothing; a category without both classes gets a constant link.
     """
     known = labels.where(F.col(id_col).isNotNull())
@@ -120,55 +142,62 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     picked = known.where(part).select(F.col(id_col).alias("__id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())])
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), "__id").where("__text is not null")
     ys = [f"y{k}" for k in range(len(categories))]
-    out = T.StructType([T.StructField("id", texts.schema["__id"].dataType), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("h", T.ArrayType(T.LongType()))])
+    out = T.StructType([T.StructField("id", texts.schema["__id"].dataType), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("n_words", T.LongType()), T.StructField("x", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in steps(batch, "__text"):
-                h, off = word_sets(*text_buffer(b.column("__text")))
-                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("__id"), *[b.column(y) for y in ys], lists], names=out.names)
-
-    got = texts.select("__id", *ys, "__text").mapInArrow(hashed, out).toArrow().combine_chunks().sort_by("id")
-    h, size = got.column("h").combine_chunks(), None
-    h = h.chunk(0) if isinstance(h, pa.ChunkedArray) and h.num_chunks else h
-    size = h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(got) else np.zeros(0, np.int64)
-    x = h.flatten().to_numpy().view(np.uint64) if len(got) else np.zeros(0, np.uint64)
-    n = len(got)
-    row = np.repeat(np.arange(n), size)
-    ids = got.column("id").to_pandas().map(str) if n else []
-    fold = np.array([sum(s.encode()) * 2654435761 % 2**32 % folds for s in ids], np.int64)
+                row, x, n_words = features(*text_buffer(b.column("__text")))
+                row, x, count = counted(row, x)
+                off = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (x.view(np.int64), count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column("__id"), *[b.column(y) for y in ys], pa.array(n_words), *lists], names=out.names)
+
+    # features of a single text can't be told from noise; they are counted out before the driver sees any
+    coded = store(texts.select("__id", *ys, "__text").mapInArrow(hashed, out), "features")
+    common = coded.select(F.explode("x").alias("f")).groupBy("f").count().where(F.col("count") >= least_rows)
+    flat = coded.select("id", F.posexplode("x").alias("p", "f"), "c").select("id", "f", F.get("c", F.col("p")).alias("c")).join(common.select("f"), "f")
+    ids = coded.select("id", "n_words", *ys).orderBy("id").toPandas()
+    got = flat.toArrow()
+    return _chain(ids["id"].to_numpy(), ids["n_words"].to_numpy(np.int64), got.column("id").to_numpy(), got.column("f").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.int64), [ids[y].to_numpy(dtype=float, na_value=np.nan) for y in ys], list(categories), folds, vocab, least_chi, ridge)
+
+
+def _chain(ids, n_words, doc, x, count, ys, names, folds, vocab, least_chi, ridge) -> Chain:
+    ids, first = np.unique(ids, return_index=True)  # of repeated ids the first row counts
+    n_words, ys = n_words[first], [y[first] for y in ys]
+    order = np.lexsort((x, doc))
+    x, count, row = x[order], count[order], np.searchsorted(ids, doc[order])
+    n = len(ids)
+    fold = (mix(np.arange(n, dtype=np.uint64)) % np.uint64(folds)).astype(np.int64)
     links, earlier = [], np.zeros((n, 0))
-    for k in range(len(categories)):
-        y = got.column(ys[k]).to_pandas().to_numpy(dtype=float, na_value=np.nan) if n else np.zeros(0)
-        known_y = ~np.isnan(y)
 
-        def link(use: np.ndarray) -> Linear:
-            mine = use & known_y
+    def rows_of(mask: np.ndarray):
+        rank = np.cumsum(mask) - 1
+        inside = mask[row]
+        return x[inside], rank[row[inside]], count[inside], n_words[mask]
+
+    for k, y in enumerate(ys):
+        known = ~np.isnan(y)
+
+        def fit(use: np.ndarray) -> Linear:
+            mine = use & known
             t, m = y[mine], int(mine.sum())
-            rank = np.cumsum(mine) - 1
-            inside = mine[row]
-            xs, rs = x[inside], rank[row[inside]]
             if not m or t.min() == t.max():
                 p = (t.sum() + 0.5) / (m + 1) if m else 1e-6
-                return Linear(np.zeros(0, np.uint64), np.zeros(earlier.shape[1]), float(_logit(np.array([p]))[0]))
-            v = _select(xs, rs, t, vocab, least_chi)
-            w = _fit(np.hstack([_design(xs, rs, m, v), earlier[mine]]), t, ridge)
+                return Linear(np.zeros(0, np.uint64), np.zeros(1 + earlier.shape[1]), float(_logit(np.array([p]))[0]))
+            part = rows_of(mine)
+            v = _select(part[0], part[1], t, vocab, least_chi)
+            w = _fit(np.hstack([_design(*part, v), earlier[mine]]), t, ridge)
             return Linear(v, w[:-1], float(w[-1]))
 
-        last = link(np.ones(n, bool))
-        links.append(last)
-        if k + 1 < len(categories):
+        links.append(fit(np.ones(n, bool)))
+        if k + 1 < len(ys):
             apart = np.zeros(n)
             for f in range(folds):
-                fit = link(fold != f)
-                test = fold == f
-                rank = np.cumsum(test) - 1
-                inside = test[row]
-                a = np.hstack([_design(x[inside], rank[row[inside]], int(test.sum()), fit.vocab), earlier[test]])
-                apart[test] = a @ fit.weights + fit.bias
+                one, test = fit(fold != f), fold == f
+                apart[test] = np.hstack([_design(*rows_of(test), one.vocab), earlier[test]]) @ one.weights + one.bias
             earlier = np.hstack([earlier, np.clip(apart, -14, 14)[:, None]])
-    return Chain(list(categories), links)
+    return Chain(names, links)
 
 
 def classify(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFrame:
@@ -178,7 +207,7 @@ def classify(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFr
     of those names are replaced. Rows are independent of each other.
     """
     names = [f"p_{c}" for c in chain.names]
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred words a category
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred features a category
     base = docs.select(*[c for c in docs.columns if c not in names], F.col(text_col).cast("string").alias("__text"))
     out = T.StructType([*base.schema.fields[:-1], *[T.StructField(c, T.DoubleType()) for c in names]])
 
@@ -186,7 +215,7 @@ def classify(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFr
         model = shared.value
         for batch in batches:
             for b in steps(batch, "__text"):
-                p = model.predict(*word_sets(*text_buffer(b.column("__text"))))
+                p = model.predict(*features(*text_buffer(b.column("__text"))))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=out.names)
 
     return base.mapInArrow(run, out)
