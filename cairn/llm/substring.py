@@ -80,12 +80,30 @@ def _name_pairs(sym, start, end, lo, hi, doc, turn):
     return name, start[at], np.where(pair, end[mate], end[at]), new_lo[at], np.where(pair, hi[mate], new_hi[at]), doc[at]
 
 
-def window_runs(h: np.ndarray, woff: np.ndarray, window: int, rounds: int = 6):
+def _least(value: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Position of the first smallest value in each range [i, j)."""
+    best = [np.arange(len(value))]
+    width = int((j - i).max()) if len(i) else 1
+    while 2 << (len(best) - 1) <= width:
+        step = 1 << (len(best) - 1)
+        a, b = best[-1][:-step], best[-1][step:]
+        best.append(np.where(value[a] <= value[b], a, b))
+    power = np.array([max(0, k.bit_length() - 1) for k in range(width + 1)])[j - i]
+    out = np.empty(len(i), np.int64)
+    for k, table in enumerate(best):
+        at = np.flatnonzero(power == k)
+        a, b = table[i[at]], table[j[at] - (1 << k)]
+        out[at] = np.where(value[a] <= value[b], a, b)
+    return out
+
+
+def window_runs(h: np.ndarray, woff: np.ndarray, window: int, rounds: int = 4):
     """Runs of windows that hang on one inner symbol: start, windows, symbol, content hash.
 
     After each round a symbol knows the word interval that decides it. A window's anchor is the
-    first symbol of the highest round whose interval lies in the window, which is a function of
-    the window's words alone: equal windows have equal anchors at equal places.
+    symbol of the highest round whose interval lies in the window, of several the one with the
+    smallest hash; that is a function of the window's words alone: equal windows have equal anchors at equal places. The name returned
+    is the symbol's together with the words of its interval, all of which lie in the window.
     """
     n = len(h)
     doc = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
@@ -96,25 +114,28 @@ def window_runs(h: np.ndarray, woff: np.ndarray, window: int, rounds: int = 6):
         return z, z, z.view(np.uint64), z.view(np.uint64)
     s = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(woff[:-1], count)
     at, name, level = s.copy(), h[s], np.zeros(total, np.int8)
+    low, high = s.copy(), s + 1
     pos = np.arange(n, dtype=np.int64)
     state = (h, pos, pos + 1, pos, pos + 1, doc)
     for turn in range(rounds):
         state = _name_runs(*state) if turn == 0 else _name_pairs(*state, turn)
         sym, start, _, lo, hi, _ = state
-        ahead = np.cumsum(np.bincount(lo + 1, minlength=n + 2))
-        i = ahead[s]
-        np.minimum(i, len(sym) - 1, out=i)
-        ok = (lo[i] >= s) & (hi[i] <= s + window)
-        pick = i[ok]
-        at[ok], name[ok], level[ok] = start[pick], sym[pick], turn + 1
+        i = np.cumsum(np.bincount(lo + 1, minlength=n + 2))[s]
+        j = np.cumsum(np.bincount(hi, minlength=n + 2))[s + window]
+        ok = i < j
+        pick = _least(mix(sym), i[ok], j[ok])
+        at[ok], name[ok], level[ok], low[ok], high[ok] = start[pick], sym[pick], turn + 1, lo[pick], hi[pick]
     new = np.ones(total, bool)
     new[1:] = (at[1:] != at[:-1]) | (level[1:] != level[:-1]) | (s[1:] != s[:-1] + 1) | (doc[s[1:]] != doc[s[:-1]])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, total))
     s1, a1 = s[first], at[first]
-    content = Ranges(h).of(s1, s1 + size - 1 + window)
+    ranges = Ranges(h)
+    content = ranges.of(s1, s1 + size - 1 + window)
     content = mix(content ^ (size.astype(np.uint64) << np.uint64(32)) ^ (a1 - s1).astype(np.uint64))
-    return s1, size, mix(name[first] + level[first].astype(np.uint64)), content
+    low, high = low[first], high[first]
+    around = ranges.of(low, high) + (a1 - low).astype(np.uint64)
+    return s1, size, mix(mix(name[first] + level[first].astype(np.uint64)) ^ around), content
 
 
 class _Combine:
@@ -257,7 +278,9 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and text count as one document; rows that repeat only the id are ordered by a text hash.
     Texts shorter than the window stay whole. Empty tables give an empty result.
     """
-    base = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__dk": F.xxhash64(F.col(text_col)), "__text": F.col(text_col).cast("string")})
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    twice = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
+    base = docs.withColumns({"__doc": key, "__dk": F.xxhash64(F.col(text_col)) if twice else F.lit(0).cast("long"), "__text": F.col(text_col).cast("string")})
     marks = repeated_windows(base, window=window).groupBy(F.col("doc").alias("__doc"), F.col("dk").alias("__dk")).agg(F.collect_list("p").alias("__marks"))
     joined = base.drop(text_col, "n_words", "n_removed").join(marks, ["__doc", "__dk"], "left")
     keep = [c for c in joined.columns if not c.startswith("__")]
