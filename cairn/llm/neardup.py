@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, lower_ascii, mix, piece_hashes, steps, store, text_buffer, words
+from .common import IdFilter, arrow_schema, lower_ascii, mix, piece_hashes, steps, store, text_buffer, words
 from .graph import connected_components
 
 _BASE = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
-_SETS = "comp long, id long, blocks long, shingles binary"
+_SETS = "id long, shingles binary"
 _EDGES = "a long, b long"
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -125,7 +125,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     2. Buckets (equal band hashes) give star-shaped candidate edges, every member to the smallest
        id: a bucket of m sets yields m - 1 edges. Components of these edges bound which sets can
        be linked at all.
-    3. Components are cut into blocks of about ``block`` sets, and every pair of blocks is one
+    3. A second pass over the texts gives the full sets of those components' documents (a filter of
+       fixed size holds back the others before any shuffle). Components are cut into blocks of about ``block`` sets, and every pair of blocks is one
        bounded task that confirms links on the full sets. It first rules out pairs by size
        (exact) and signature, skips pairs already joined, and returns a spanning forest of
        confirmed links, never all pairs. Components of those are the classes.
@@ -164,14 +165,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = store(connected_components(stars), "comps")
     sized = comps.join(comps.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")), "comp")
 
+    members = docs.sparkSession.sparkContext.broadcast(IdFilter(comps, "id"))  # 8 MB at any size
+
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in steps(batch, "text"):
-                x, off = shingle_sets(*text_buffer(b.column("text")), shingle)
+            for b in steps(batch.filter(pa.array(members.value.passes(batch.column(0).to_numpy()))), "text"):
+                x, off = shingle_sets(*text_buffer(b.column(1)), shingle)
                 data = pa.BinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(off * 8), pa.py_buffer(x)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("id"), b.column("blocks"), data], schema=arrow_schema(_SETS))
+                yield pa.RecordBatch.from_arrays([b.column(0), data], schema=arrow_schema(_SETS))
 
-    sets = src.join(sized, src.doc_id == sized.id).select("comp", "id", "blocks", "text").mapInArrow(full, _SETS)
+    sets = src.where("doc_id is not null").mapInArrow(full, _SETS).join(sized, "id")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
     paired = sets.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select("comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "shingles")
 
