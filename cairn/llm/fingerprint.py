@@ -64,6 +64,7 @@ class Cells:
         self.base = np.concatenate([[0], np.cumsum(self.m)])
         n = int(self.base[-1])
         self.count, self.key, self.check = np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.known: tuple[np.ndarray, np.ndarray] | None = None  # what a whole peel gave before
 
     def add(self, doc: np.ndarray, key: np.ndarray, sign: np.ndarray | int = 1) -> None:
         check = _check(key)
@@ -84,6 +85,15 @@ class Cells:
         np.bitwise_xor.at(out.check, dst, self.check[src])
         return out
 
+    def listed(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All keys of documents that peel whole: (position in ``docs``, key)."""
+        if self.known is None:
+            return self.folded(docs, self.m[docs]).peel()[:2]
+        keys, off = self.known
+        size = np.diff(off)[docs]
+        at = np.repeat(off[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(docs)), size), keys[at]
+
     def minus(self, other: "Cells") -> "Cells":
         self.count = self.count - other.count
         self.key, self.check = self.key ^ other.key, self.check ^ other.check
@@ -141,6 +151,7 @@ class Sketches:
             m[todo] *= 2
         self.cells = Cells(m)
         self.cells.add(doc, self.keys)
+        self.cells.known = self.keys, self.off
 
     def text(self, i: int) -> str:
         c, a, b = self.cells, int(self.cells.base[i]), int(self.cells.base[i + 1])
@@ -160,9 +171,14 @@ def _differing(x: Cells, i: np.ndarray, y: Cells, j: np.ndarray) -> np.ndarray:
         np.add.at(out, todo[doc[ok]], (key[ok] & np.uint64(0xFFFF)).astype(np.int64))
         todo = todo[~good]
         last = m[todo] >= most[todo]
-        for p in todo[last]:  # too much differs for the smaller sketch: both are peeled whole
-            own = [c.folded(np.array([k]), c.m[[k]]).peel()[1] for c, k in ((x, i[p]), (y, j[p]))]
-            out[p] = int((np.setxor1d(*own) & np.uint64(0xFFFF)).sum())
+        if last.any():  # too much differs for the smaller sketch: both are peeled whole
+            both = [c.listed(k[todo[last]]) for c, k in ((x, i), (y, j))]
+            pair, key = (np.concatenate(z) for z in zip(*both))
+            order = np.lexsort((key, pair))
+            pair, key = pair[order], key[order]
+            same = (pair[1:] == pair[:-1]) & (key[1:] == key[:-1])
+            alone = ~(np.append(same, False) | np.append(False, same)) if len(key) else np.zeros(0, bool)
+            np.add.at(out, todo[last][pair[alone]], (key[alone] & np.uint64(0xFFFF)).astype(np.int64))
         todo = todo[~last]
         m[todo] *= 2
     return out
