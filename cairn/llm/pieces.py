@@ -45,7 +45,7 @@ class PieceEncoder:
         longer = sorted((i for i in normal if len(text[i]) > 1), key=lambda i: -lib.get_score(i))
         self.order = {text[i]: k for k, i in enumerate(base + longer)}
         self.pieces = [text[i] for i in base + longer]
-        self.id = [i for i in base + longer]
+        self.code = [np.int32(i).astype("<i4").tobytes() for i in base + longer]
         self.left, self.right = list(range(len(self.pieces))), list(range(len(self.pieces)))
         self.reach = set(range(len(base)))
         for k in range(len(base), len(self.pieces)):
@@ -53,13 +53,16 @@ class PieceEncoder:
                 self.left[k], self.right[k] = last
                 self.reach.add(k)
         self.ends = {p: k for p, k in self.order.items() if k in self.reach}
-        self.longest = max(map(len, self.ends), default=1)
+        lengths: dict[str, set[int]] = {}
+        for p in self.ends:
+            lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
         self.allowed: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
-        self.byte = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.spare = [np.int32(lib.piece_to_id(f"<0x{b:02X}>")).astype("<i4").tobytes() for b in range(256)]
         self.spell = [lib.id_to_piece(i).replace(MARK, " ").encode() for i in range(lib.vocab_size())]
-        for b, i in enumerate(self.byte):
-            self.spell[i] = bytes([b])
+        for b in range(256):
+            self.spell[lib.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
         for i in range(lib.vocab_size()):
             if lib.is_control(i):
                 self.spell[i] = b""
@@ -107,7 +110,7 @@ class PieceEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct marked words into the cache, depth-first through their trie."""
-        ends, allowed, longest, size = self.ends, self.allowed, self.longest, len(self.pieces)
+        ends, allowed, lengths, size, short = self.ends, self.allowed, self.lengths, len(self.pieces), (2, 1)
         before, state = "", [-1]  # state[i]: piece that ends the prefix of length i; -2: a character without piece
         for word in sorted(words):
             n, at = len(word), 0
@@ -117,8 +120,9 @@ class PieceEncoder:
             del state[at + 1 :]
             for i in range(at + 1, n + 1):
                 found = None
-                for start in range(max(0, i - longest), i):
-                    k = ends.get(word[start:i])
+                for size_ in lengths.get(word[i - 3 : i] if i > 2 else "", ()) + short:
+                    start = i - size_
+                    k = ends.get(word[start:i]) if start >= 0 else None
                     if k is None:
                         continue
                     last = state[start]
@@ -134,13 +138,13 @@ class PieceEncoder:
             before, i, ids = word, n, []
             while i:
                 if (k := state[i]) < 0:
-                    ids += [self.byte[b] for b in reversed(word[i - 1].encode())]
+                    ids += [self.spare[b] for b in reversed(word[i - 1].encode())]
                     i -= 1
                 else:
-                    ids.append(self.id[k])
+                    ids.append(self.code[k])
                     i -= len(self.pieces[k])
-            self.cache[word] = np.array(ids[::-1], "<i4").tobytes()
-        if len(allowed) > 3_000_000:
+            self.cache[word] = b"".join(reversed(ids))
+        if len(allowed) > 1_000_000:
             allowed.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
