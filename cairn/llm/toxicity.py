@@ -132,17 +132,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
     At most about ``max_rows`` labels are taken, by a hash of the id; that sample alone is
     broadcast to find its texts. Later categories are trained with the earlier ones'
     out-of-fold log-odds, for which words are selected anew in every fold; the links used for
-    prediction are then fitted on all sampled rows. Features in fewer than ``least_rows`` texts
-    of the sample are dropped before it is collected. Labels that are null (or whose text is) teach
+    prediction are then fitted on all sampled rows. Only features that some fit
+    can select reach the driver. Labels that are null (or whose text is) teach
     nothing; a category without both classes gets a constant link.
     """
     known = labels.where(F.col(id_col).isNotNull())
     count = known.count()
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_rows / max(1, count)) + 1)
-    picked = known.where(part).select(F.col(id_col).alias("__id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())])
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), "__id").where("__text is not null")
     ys = [f"y{k}" for k in range(len(categories))]
-    out = T.StructType([T.StructField("id", texts.schema["__id"].dataType), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("n_words", T.LongType()), T.StructField("x", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
+    picked = known.where(part).select(F.col(id_col).alias("__id"), *[c.cast("int").alias(y) for y, c in zip(ys, categories.values())]).dropDuplicates(["__id"])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), "__id").where("__text is not null")
+    texts = texts.withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(folds)).cast("int"))
+    out = T.StructType([T.StructField("id", texts.schema["__id"].dataType), T.StructField("fold", T.IntegerType()), *[T.StructField(y, T.IntegerType()) for y in ys], T.StructField("n_words", T.LongType()), T.StructField("x", T.ArrayType(T.LongType())), T.StructField("c", T.ArrayType(T.IntegerType()))])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,24 +152,48 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
                 row, x, count = counted(row, x)
                 off = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(off, pa.array(v)) for v in (x.view(np.int64), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([b.column("__id"), *[b.column(y) for y in ys], pa.array(n_words), *lists], names=out.names)
+                yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__fold"), *[b.column(y) for y in ys], pa.array(n_words), *lists], names=out.names)
 
-    # features of a single text can't be told from noise; they are counted out before the driver sees any
-    coded = store(texts.select("__id", *ys, "__text").mapInArrow(hashed, out), "features")
-    common = coded.select(F.explode("x").alias("f")).groupBy("f").count().where(F.col("count") >= least_rows)
-    flat = coded.select("id", F.posexplode("x").alias("p", "f"), "c").select("id", "f", F.get("c", F.col("p")).alias("c")).join(common.select("f"), "f")
-    ids = coded.select("id", "n_words", *ys).orderBy("id").toPandas()
+    coded = store(texts.select("__id", "__fold", *ys, "__text").mapInArrow(hashed, out), "features")
+    ids = coded.select("id", "fold", "n_words", *ys).orderBy("id").toPandas()
+    telling = _telling(coded, ids, ys, folds, vocab, least_rows, least_chi)
+    flat = coded.select("id", F.posexplode("x").alias("p", "f"), "c").join(F.broadcast(telling), "f").select("id", "f", F.get("c", F.col("p")).alias("c"))
     got = flat.toArrow()
-    return _chain(ids["id"].to_numpy(), ids["n_words"].to_numpy(np.int64), got.column("id").to_numpy(), got.column("f").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.int64), [ids[y].to_numpy(dtype=float, na_value=np.nan) for y in ys], list(categories), folds, vocab, least_chi, ridge)
+    return _chain(ids["id"].to_numpy(), ids["n_words"].to_numpy(np.int64), got.column("id").to_numpy(), got.column("f").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.int64), [ids[y].to_numpy(dtype=float, na_value=np.nan) for y in ys], list(categories), folds, vocab, least_chi, ridge, ids["fold"].to_numpy(np.int64))
 
 
-def _chain(ids, n_words, doc, x, count, ys, names, folds, vocab, least_chi, ridge) -> Chain:
+def _telling(coded: DataFrame, ids, ys: list[str], folds: int, vocab: int, least_rows: int, least_chi: float) -> DataFrame:
+    """Features among the ``vocab`` best by chi-square of any category, with all folds or without one.
+
+    The counts are taken in Spark; at most vocab * categories * (folds + 1) features remain.
+    """
+    each = coded.select("fold", *ys, F.explode("x").alias("f"))
+    sums = {f"d{y}_{f}": F.count(F.when((F.col("fold") == f) & F.col(y).isNotNull(), 1)) for y in ys for f in range(folds)}
+    sums |= {f"p{y}_{f}": F.count(F.when((F.col("fold") == f) & (F.col(y) == 1), 1)) for y in ys for f in range(folds)}
+    chis = {}
+    for y in ys:
+        for left in range(-1, folds):
+            use = [f for f in range(folds) if f != left]
+            mine = ids[ids["fold"].isin(use) & ids[y].notna()]
+            n, p = float(len(mine)), float((mine[y] == 1).sum())
+            d, s = (sum((F.col(f"{k}{y}_{f}") for f in use), F.lit(0.0)) for k in "dp")
+            chi = n * (s * n - d * p) ** 2 / F.nullif(d * (n - d) * p * (n - p), F.lit(0.0))
+            chis[f"chi{y}_{left + 1}"] = F.coalesce(F.when(d >= 3, chi), F.lit(0.0))
+    scored = each.groupBy("f").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in sums.items()]).where(F.col("n") >= least_rows).select("f", *[c.alias(k) for k, c in chis.items()])
+    scored = store(scored.where(F.greatest(*chis, F.lit(0.0)) >= least_chi), "telling")
+    best = [scored.where(F.col(k) >= least_chi).orderBy(F.desc(k), "f").limit(vocab).select("f") for k in chis]
+    out = best[0]
+    for b in best[1:]:
+        out = out.unionByName(b)
+    return out.distinct()
+
+
+def _chain(ids, n_words, doc, x, count, ys, names, folds, vocab, least_chi, ridge, fold) -> Chain:
     ids, first = np.unique(ids, return_index=True)  # of repeated ids the first row counts
-    n_words, ys = n_words[first], [y[first] for y in ys]
+    n_words, ys, fold = n_words[first], [y[first] for y in ys], fold[first]
     order = np.lexsort((x, doc))
     x, count, row = x[order], count[order], np.searchsorted(ids, doc[order])
     n = len(ids)
-    fold = (mix(np.arange(n, dtype=np.uint64)) % np.uint64(folds)).astype(np.int64)
     links, earlier = [], np.zeros((n, 0))
 
     def rows_of(mask: np.ndarray):
