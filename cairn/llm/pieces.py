@@ -16,7 +16,7 @@ from .common import steps
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 def default_model() -> str:
@@ -176,7 +176,7 @@ def _with(df: DataFrame, source: str, target: str, kind: T.DataType) -> tuple[Da
 def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "ids", model: str | None = None) -> DataFrame:
     """``docs`` with ``out_col``: the ids of every whole text (array<int>; empty for null or empty text).
 
-    Each Python worker keeps up to 300,000 encoded words; distinct new words of a step are encoded
+    Each Python worker keeps up to 200,000 encoded words; distinct new words of a step are encoded
     together. Rows are independent; a column named ``out_col`` is replaced.
     """
     path = model or default_model()
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "ids", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for batch in batches:
-            for b in steps(batch, "__source", 4 << 20):
+            for b in steps(batch, "__source"):
                 got = enc.encode([x or "" for x in b.column("__source").to_pylist()])
                 off = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(got), "<i4")))
@@ -210,3 +210,22 @@ def decode(docs: DataFrame, *, ids_col: str = "ids", out_col: str = "decoded", m
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=out.names)
 
     return base.mapInArrow(run, out)
+
+
+def encode_decode(docs: DataFrame, *, text_col: str = "text", model: str | None = None) -> DataFrame:
+    """``docs`` with ids and decoded, the text that comes back from those ids, in one Python pass."""
+    path = model or default_model()
+    base = docs.select(*[c for c in docs.columns if c not in ("ids", "decoded")], F.col(text_col).cast("string").alias("__source"))
+    out = T.StructType([*base.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(path)
+        for batch in batches:
+            for b in steps(batch, "__source"):
+                got = enc.encode([x or "" for x in b.column("__source").to_pylist()])
+                off = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(got), "<i4")
+                texts = [enc.decode(flat[s:e]) for s, e in zip(off[:-1], off[1:])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array(texts, pa.string())], names=out.names)
+
+    return base.mapInArrow(run, out)

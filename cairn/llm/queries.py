@@ -9,8 +9,9 @@ from .fingerprint import edit_fingerprints
 from .html import extract
 from .langid import language_id
 from .neardup import near_duplicates
+from .oracles import ORACLES  # noqa: F401 - for __spark_entry__
 from .packing import pack
-from .pieces import decode, encode
+from .pieces import encode_decode
 from .substring import dedup_substrings
 from .tokenfile import token_file
 from .toxicity import toxicity
@@ -30,8 +31,8 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "ids")
-    return decode(coded).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "text_sha256")
+    coded = encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ QUERIES = {
     for f in (op1_substring_dedup, op2_fingerprint, op3_sentencepiece, op4_language_id, op5_minhash, op6_html_text, op7_toxicity, op8_packing, op9_embeddings, op10_token_file)
 }
 
-ORACLES: dict[str, str] = {}
+
