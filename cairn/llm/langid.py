@@ -20,7 +20,7 @@ def _contexts(raw: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> list[np.n
     """Symbols of all bytes and of the 1 to ORDER bytes before them (0 before a text's start)."""
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at = np.arange(len(raw)) + ORDER * (doc + 1)
-    padded = np.zeros(len(raw) + ORDER * len(off), np.int64)
+    padded = np.zeros(len(raw) + ORDER * len(off), np.int32)
     padded[at] = symbol[raw]
     return [padded[at - k] for k in range(ORDER + 1)]
 
@@ -41,22 +41,22 @@ class PpmModel:
         for docs in texts.values():
             for t in docs:
                 seen[np.frombuffer(t, np.uint8)] = True
-        self.symbol = np.zeros(256, np.int64)
+        self.symbol = np.zeros(256, np.int32)
         self.symbol[seen] = np.arange(1, seen.sum() + 1)
         a = self.a = int(seen.sum()) + 1
         streams = []
         for lang in self.langs:
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts[lang]])]).astype(np.int64)
             streams.append(_contexts(np.frombuffer(b"".join(texts[lang]), np.uint8), off, self.symbol))
-        prob = np.full((1, a, len(self.langs)), 1 / 256)
+        prob = np.full((1, a, len(self.langs)), 1 / 256, np.float32)
         self.row = np.zeros(a**ORDER, np.int32)
         tables, base = [], 0
-        known = np.zeros(1, np.int64)  # the nodes of the order before, ascending
+        known = np.zeros(1, np.int32)  # the nodes of the order before, ascending
         for order in range(ORDER + 1):
-            keys = [sum((s[k + 1] * a**k for k in range(order)), np.zeros(len(s[0]), np.int64)) for s in streams]
-            nodes = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            keys = [sum((s[k + 1] * np.int32(a**k) for k in range(order)), np.zeros(len(s[0]), np.int32)) for s in streams]
+            nodes = np.unique(np.concatenate([np.unique(k) for k in keys])) if keys else np.zeros(0, np.int32)
             parent = np.searchsorted(known, nodes % a ** max(order - 1, 0)) if order else np.zeros(len(nodes), np.int64)
-            here = prob[parent].copy()
+            here = prob[parent]
             for i, (s, key) in enumerate(zip(streams, keys)):
                 pair, count = np.unique(np.searchsorted(nodes, key) * a + s[0], return_counts=True)
                 node, sym = pair // a, pair % a
@@ -67,11 +67,12 @@ class PpmModel:
             if order:  # contexts that end in a node take its row until a longer node does
                 span = np.arange(a ** (ORDER - order)) * a**order
                 self.row[(nodes[:, None] + span[None, :]).reshape(-1)] = np.repeat(base + np.arange(len(nodes)), len(span))
-            tables.append(here)
+            tables.append(np.round(-np.log2(here) * UNIT).astype(np.int32))
             base += len(nodes)
             prob, known = here, nodes
-        table = np.concatenate(tables) if base else prob
-        self.code = np.round(-np.log2(table) * UNIT).astype(np.int32).reshape(-1, max(1, len(self.langs)))
+        del prob, streams
+        table = np.concatenate(tables) if base else np.zeros((1, a, 1), np.int32)
+        self.code = table.reshape(-1, max(1, len(self.langs)))
 
     def lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Exact code length of every text under every language."""
@@ -81,7 +82,7 @@ class PpmModel:
         s = _contexts(raw, off, self.symbol)
         key = s[ORDER]
         for k in range(ORDER - 1, 0, -1):
-            key = key * self.a + s[k]
+            key = key * np.int32(self.a) + s[k]
         code = self.code[self.row[key].astype(np.int64) * self.a + s[0]]
         some = np.flatnonzero(np.diff(off))
         out[some] = np.add.reduceat(code, off[:-1][some], axis=0, dtype=np.int64)
@@ -101,7 +102,7 @@ def _bucket(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_lang: int = 400, max_bytes: int = 30_000, max_langs: int = 500) -> PpmModel:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_lang: int = 150, max_bytes: int = 30_000, max_langs: int = 500) -> PpmModel:
     """Frozen model from a bounded sample: about ``rows_a_lang`` whole texts of at most
     ``max_bytes`` bytes a language, picked by a hash of the id among rows with a language whose
     crc32(id as text) mod 4 is not 2. Null texts, languages and ids are not learned from."""
