@@ -96,3 +96,12 @@ def orphans(legacy_manifests: DataFrame, refs: DataFrame, owners: DataFrame, leg
     """Legacy objects that nothing references and whose first chunk belongs to a known namespace."""
     loose = legacy_manifests.join(refs.select("blob_id").distinct(), "blob_id", "left_anti").withColumn("chunk_id", F.try_element_at("chunk_ids", F.lit(1)))
     return loose.join(legacy_chunks.select("chunk_id", "ns").distinct(), "chunk_id").join(owners.select("ns"), "ns", "left_semi").select("ns", "blob_id", "chunk_id")
+
+
+def unregistered(entries: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Objects that a write-ahead log finished and no manifest knows, with their chunk lists.
+
+    Registering them again changes nothing, so the log may be replayed at every start.
+    """
+    lists = entries.groupBy("blob_id", "segment", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "length"))).alias("chunks"), F.sum("length").alias("total_size"))
+    return lists.dropDuplicates(["blob_id"]).join(manifest.select("blob_id"), "blob_id", "left_anti").select("blob_id", "total_size", "chunks")
