@@ -18,6 +18,7 @@ _RUNS = "k long, b long, doc long, dk long, p long"
 _MARKS = "doc long, dk long, p long, status int"
 _Q1, _Q2 = 0x9E3779B97F4A7C15, 0xC6A4A7935BD1E995
 _FLUSH = 1_500_000
+_OPEN, _MARKER = 1 << 62, 1 << 61  # in p: a run to be checked in any case; a symbol known to be shared
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -139,11 +140,16 @@ def window_runs(h: np.ndarray, woff: np.ndarray, window: int, rounds: int = 4):
 
 
 class _Combine:
-    """Map-side combining: of equal keys only the earliest leaves the task as a candidate."""
+    """Map-side combining: of equal keys only the earliest leaves the task as a candidate.
 
-    def __init__(self) -> None:
+    A symbol with more than ``hot`` different contents in one task (a common line in ever new
+    surroundings) is surely shared. Its runs are spread by content instead of meeting in one
+    group, flagged to be checked window by window, and a marker tells the symbol's own group.
+    """
+
+    def __init__(self, hot: int = 0) -> None:
         self.parts: list[tuple] = []
-        self.rows = 0
+        self.rows, self.hot = 0, hot
 
     def add(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(cols)
@@ -165,8 +171,18 @@ class _Combine:
         k[later], b[later] = mix(doc[later].view(np.uint64) + dk[later].view(np.uint64)), 0
         keep = first | later
         p[later] = -p[later] - 1
-        cols = [k.view(np.int64), b.view(np.int64), doc, dk, p]
-        table = pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], schema=arrow_schema(_RUNS))
+        cols = [c[keep] for c in (k, b, doc, dk, p)]
+        if self.hot:
+            k, b, _, _, p = cols
+            name, group, size = np.unique(k[p >= 0], return_inverse=True, return_counts=True)
+            spread = np.flatnonzero(p >= 0)[size[group] > self.hot]
+            mark = name[size > self.hot]
+            k[spread] = mix(k[spread] ^ b[spread])
+            p[spread] |= _OPEN
+            none = np.zeros(len(mark), np.int64)
+            cols = [np.concatenate(c) for c in zip(cols, (mark, ~mark, none, none, none + _MARKER))]
+        cols = [cols[0].view(np.int64), cols[1].view(np.int64), *cols[2:]]
+        table = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=arrow_schema(_RUNS))
         for i in range(0, table.num_rows, 100_000):
             yield table.slice(i, 100_000)
 
@@ -193,18 +209,18 @@ def _judge(want_shared: bool):
                 new_b[1:] = new_k[1:] | (b[1:] != b[:-1])
                 head = np.maximum.accumulate(np.where(new_b, np.arange(n), 0))
                 later = (doc != doc[head]) | (dk != dk[head]) | (p != p[head])
-                out.append((doc[later], dk[later], p[later], np.zeros(int(later.sum()), np.int32)))
+                out.append((doc[later], dk[later], p[later] & ~_OPEN, np.zeros(int(later.sum()), np.int32)))
                 group = np.cumsum(new_k) - 1
                 many = np.bincount(group[new_b]) > 1
                 if last is not None and last[4]:
                     many[0] = True
                 if want_shared:
-                    shared = new_b & many[group]
+                    shared = new_b & (many[group] | (p & _OPEN > 0)) & (p != _MARKER)
                     if last is not None and not waits:
                         shared[0] = False
-                    out.append((doc[shared], dk[shared], p[shared], np.ones(int(shared.sum()), np.int32)))
+                    out.append((doc[shared], dk[shared], p[shared] & ~_OPEN, np.ones(int(shared.sum()), np.int32)))
                 h, several = head[-1], bool(many[-1])
-                waiting = not several and (h > 0 or last is None or waits)
+                waiting = not several and not p[h] & _OPEN and (h > 0 or last is None or waits)
                 last = (k[-1], b[-1], (doc[h], dk[h], p[h]), waiting, several)
             cols = [np.concatenate(c) for c in zip(*out)]
             if len(cols[0]):
@@ -217,7 +233,7 @@ def _sorted_groups(df: DataFrame) -> DataFrame:
     return df.repartition(input_partitions(df), "k").sortWithinPartitions("k", "b", "doc", "dk", "p")
 
 
-def repeated_windows(docs: DataFrame, *, window: int = 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, *, window: int = 20, hot: int = 64) -> DataFrame:
     """Marks (doc, dk, p) of word windows that start earlier elsewhere; p is 32 * first window + windows.
 
     ``docs`` has __doc, __dk and __text. Round one compares runs of windows by their anchor
@@ -226,7 +242,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 20) -> DataFrame:
     """
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        combine = _Combine()
+        combine = _Combine(hot)
         for batch in batches:
             for b in steps(batch, "__text"):
                 raw, off = text_buffer(b.column("__text"))
@@ -261,7 +277,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 20) -> DataFrame:
     return marks.where("status = 0").unionByName(edge).select("doc", "dk", "p")
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20, hot: int = 64) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that also starts earlier.
 
     Earlier: in a document with a smaller id, or in the same document before. Windows are judged
@@ -272,7 +288,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rounds pairs of a 0-class and a 1-class symbol, where a name is a 64-bit hash of its parts and
     thus the same everywhere; equal substrings get equal inner symbols. The symbols, not the
     windows, are shuffled; tasks first combine equal ones, so a passage in a third of all rows
-    arrives once a task. Contents are verified by independent hashes.
+    arrives once a task, and a symbol with more than ``hot`` contents in a task is spread by
+    content. Contents are verified by independent hashes.
 
     Null or empty text: no words, empty text. Null ids come last in the order. Rows that repeat id
     and text count as one document; rows that repeat only the id are ordered by a text hash.
@@ -281,7 +298,7 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     twice = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
     base = docs.withColumns({"__doc": key, "__dk": F.xxhash64(F.col(text_col)) if twice else F.lit(0).cast("long"), "__text": F.col(text_col).cast("string")})
-    marks = repeated_windows(base, window=window).groupBy(F.col("doc").alias("__doc"), F.col("dk").alias("__dk")).agg(F.collect_list("p").alias("__marks"))
+    marks = repeated_windows(base, window=window, hot=hot).groupBy(F.col("doc").alias("__doc"), F.col("dk").alias("__dk")).agg(F.collect_list("p").alias("__marks"))
     joined = base.drop(text_col, "n_words", "n_removed").join(marks, ["__doc", "__dk"], "left")
     keep = [c for c in joined.columns if not c.startswith("__")]
     joined = joined.select(*keep, "__text", "__marks")
