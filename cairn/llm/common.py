@@ -20,7 +20,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share; a temporary one only where none is set (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     here = getattr(spark, "_cairn_shared", None)
