@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: PpmModel, *, text_col: str = "text") -> Dat
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for b in steps(batch, "__text"):
+            for b in steps(batch, "__text", 1 << 19):
                 col = b.column("__text")
                 raw, off = text_buffer(col)
                 length = m.lengths(raw, off)

@@ -147,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *,
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in steps(batch, "__text"):
+            for b in steps(batch, "__text", 1 << 20):
                 row, x, n_words = features(*text_buffer(b.column("__text")))
                 row, x, count = counted(row, x)
                 off = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32())
@@ -239,7 +239,7 @@ def classify(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for b in steps(batch, "__text"):
+            for b in steps(batch, "__text", 1 << 20):
                 p = model.predict(*features(*text_buffer(b.column("__text"))))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=out.names)
 
