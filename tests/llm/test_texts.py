@@ -72,6 +72,24 @@ def test_edited_texts(spark, per):
     assert edit_fingerprints(df.limit(0)).count() == 0
 
 
+def test_texts_without_sentence_ends_share_their_half(spark):
+    rng = random.Random(7)
+    cjk = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (120, 900)]
+    plain = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (12, 2500)]
+    texts = [*cjk, *plain, "Esheha " * 300, "1, 2, 3, " * 90]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in edit_fingerprints(df).collect():
+        text = texts[r.doc_id]
+        kept, both = len(text[: len(text) - len(text) // 2].encode()), len(text.encode()) + len(r.edited.encode())
+        assert r.near_edited * both / (1 + r.near_edited) > kept / 3 and r.near_edited > r.near_next
+    keys, off = paragraph_digests(*text_buffer(pa.array([plain[1], plain[1][:5000], "inserted " + plain[1]])))
+    sizes = (keys & np.uint64(0xFFFF)).astype(int)
+    assert sizes.max() <= 64
+    whole, head, later = (dict(zip(keys[a:b].tolist(), sizes[a:b])) for a, b in zip(off, off[1:]))
+    for other in (head, later):
+        assert sum(v for k, v in other.items() if k not in whole) < 300
+
+
 SYLLABLES = {"en": "the th er ing and of on is".split(), "fr": "le éau oi les que ê ç de".split(), "de": "der sch ung ei ß über ich".split()}
 
 
