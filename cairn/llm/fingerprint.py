@@ -17,6 +17,7 @@ MISSING = np.iinfo(np.int64).min
 _HEAD = struct.Struct("<BIQ")
 _OUT = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _SMALL = 8
+_SEEDS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _WINDOW = 8
 _FIRST, _LONGEST = (8, 24, 56), 64
 
@@ -80,8 +81,7 @@ def _check(key: np.ndarray) -> np.ndarray:
 
 
 def _places(key: np.ndarray, mask: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
-    h = mix(key + np.uint64(0xE7037ED1A0B428DB))
-    return [base + (h >> np.uint64(21 * k)).astype(np.int64) % (1 << 21) % (mask + 1) for k in range(3)]
+    return [base + (mix(key + seed) & mask.astype(np.uint64)).astype(np.int64) for seed in _SEEDS]
 
 
 class Cells:

@@ -72,6 +72,21 @@ def test_edited_texts(spark, per):
     assert edit_fingerprints(df.limit(0)).count() == 0
 
 
+def test_sketch_of_more_than_two_million_keys_peels():
+    n = (1 << 21) + 1000
+    keys = np.random.default_rng(3).permutation(np.arange(1, n + 1).astype(np.uint64) << np.uint64(16))
+    c = Cells(np.array([1 << 22]))
+    c.add(np.zeros(n, int), keys)
+    doc, key, sign, good = c.peel()
+    assert good.all() and len(key) == n and (sign == 1).all()
+
+
+def test_sketch_of_a_text_of_many_lines():
+    lines = (1 << 21) + 1000
+    s = Sketches(np.full(lines, 10, np.uint8), np.array([0, lines]))
+    assert s.n.tolist() == [lines] and s.cells.m.tolist() == [1 << 22]
+
+
 def test_texts_without_sentence_ends_share_their_half(spark):
     rng = random.Random(7)
     cjk = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n)) for n in (120, 900)]
