@@ -6,7 +6,7 @@ stage before. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import store
@@ -17,8 +17,9 @@ from cairn.llm.substring import dedup_substrings
 from cairn.llm.toxicity import toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bytes of any learned language take 2 to 4 bits; text that needs more than this is none of them.
-FOREIGN_BITS = 6.5
+#: Bytes of words of a learned language take 2 to 5.5 bits, those of another script or noise over 9;
+#: text that needs more than this is none of them. Short texts get so many bits besides.
+FOREIGN_BITS, SHORT_BITS = 6.5, 32
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity(docs, labels).where(~F.col("toxic")).select(*COLUMNS)
 
 
+def letter_words(text: Column) -> Column:
+    """The text's letter runs in lower case between spaces, without runs that hold digits unless
+    there are no others: numbers, keys and symbols tell nothing about a language."""
+    runs = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{M}]+", " ")))
+    plain = runs(F.regexp_replace(text, r"(?<![\p{L}\p{M}\p{N}])[\p{L}\p{M}]*+\p{N}[\p{L}\p{M}\p{N}]*+", " "))
+    return F.when(plain != "", plain).otherwise(runs(text))
+
+
 def reject_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose best language model doesn't find them as unlikely as noise."""
-    scored = identify(docs, train(docs))
-    return scored.where((F.col("lang_pred") != "und") & (F.col("bits_a_byte") <= FOREIGN_BITS)).select(*COLUMNS)
+    """Documents with letters whose words the best language model doesn't find as unlikely as noise."""
+    words = docs.select(*COLUMNS, letter_words(F.col("text")).alias("words"))
+    scored = identify(words, train(words, text_col="words"), text_col="words")
+    spent = F.col("bits_a_byte") * F.octet_length("words")
+    return scored.where((F.col("lang_pred") != "und") & (spent <= FOREIGN_BITS * F.octet_length("words") + SHORT_BITS)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

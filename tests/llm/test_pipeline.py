@@ -60,6 +60,24 @@ def test_stages(spark, tables):
     assert totals(whole) == totals(pieces)  # cuts may differ with the order of the files
 
 
+def test_language_stage_judges_words_alone(spark):
+    rng = random.Random(4)
+    spoken = [speech(lang, rng, rng.randrange(20, 60)) for lang in ("en", "fr", "de") for _ in range(60)]
+    rows = [(i, t, ("en", "fr", "de")[i // 60]) for i, t in enumerate(spoken)]
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    own = ["A.", "x", "R2D2", f'token = "{key}" the of', f"the 2353820953013749 +1 (168) 555-5254 19.37.233.111 {key}", spoken[0].upper().replace(" ", "!! ")]
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(200)), "Это русский текст о погоде", "... 12 ...", None]
+    rows += [(1000 + i, t, "en") for i, t in enumerate(own)] + [(2000 + i, t, None) for i, t in enumerate(noise)]
+    docs = spark.createDataFrame([(i, t, lang, "s", None) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.reject_foreign(spark, docs, "").collect()}
+    assert kept == {i for i, *_ in rows if i < 2000}
+
+
+def test_language_stage_keeps_labelled_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[A-Za-z]'")
+    assert corpus_pipeline.reject_foreign(spark, docs, "").count() == docs.count()
+
+
 def test_registered():
     import __spark_entry__
 
