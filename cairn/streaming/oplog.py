@@ -34,11 +34,17 @@ def current(spark, path: str) -> DataFrame:
     return references.live_refs(spark.read.parquet(path))
 
 
+def live_stats(spark, path: str) -> DataFrame:
+    """Objects and bytes of every namespace as they stand after overwrites and deletes, from an operation log."""
+    return current(spark, path).groupBy("ns").agg(F.count("*").alias("blob_count"), F.sum("size").alias("bytes_stored"))
+
+
 def maintain_stats(stream: DataFrame, path: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Keep per-namespace counters of written objects and bytes as one small table a batch.
 
-    Each batch stores its own sums under its number; readers add them up, which makes a repeated
-    batch harmless without reading old totals.
+    These are counters of traffic (overwrites count again, deletes don't); ``live_stats`` has what
+    stands. Each batch stores its own sums under its number; readers add them up, which makes a
+    repeated batch harmless without reading old totals.
     """
 
     def apply(batch: DataFrame, number: int) -> None:

@@ -1,7 +1,8 @@
-import pytest
+import hashlib
+
 from pyspark.sql import functions as F
 
-from cairn.streaming import apply_operations, deduplicated_parts, maintain_stats, session_progress
+from cairn.streaming import apply_operations, deduplicated_parts, live_stats, maintain_stats, session_progress
 from cairn.streaming.oplog import current, totals
 from cairn.streaming.uploads import add_range
 
@@ -17,17 +18,25 @@ def _stream(spark, folder, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-@pytest.mark.skip(reason="the query does not finish here; cause not found yet, so session_progress is unverified")
 def test_session_progress(spark, tmp_path):
-    schema = "session string, start long, stop long, size long, ts timestamp"
+    schema = "session string, start long, stop long, size long, ts timestamp, data binary, sha256 string"
     src = tmp_path / "parts"
-    for rows in ([("a", 0, 5, 10), ("b", 0, 4, 8)], [("a", 5, 10, 10), ("b", 6, 8, 8)]):
-        spark.createDataFrame(rows, "session string, start long, stop long, size long").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(src))
-    q = session_progress(_stream(spark, src, schema)).writeStream.format("memory").queryName("progress").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()  # processing-time timeouts keep the query going, so it doesn't end by itself
-    q.stop()
-    got = {(r.session, r.received, r.state) for r in spark.table("progress").collect()}
-    assert ("a", 10, "complete") in got and ("b", 6, "open") in got and not any(s == "expired" for _, _, s in got)
+    sha = hashlib.sha256(b"01234").hexdigest()
+    batches = [
+        [("a", 0, 5, 10, "2024-01-01 00:00:00", b"01234", sha), ("b", 0, 4, 8, "2024-01-01 00:00:00", None, None), ("b", 7, 9, 8, "2024-01-01 00:00:00", None, None)],
+        [("a", 5, 10, 10, "2024-01-01 00:10:00", b"01234", sha.upper()), ("b", 6, 8, 8, "2024-01-01 00:10:00", None, None), ("c", 0, 5, 5, "2024-01-01 00:10:00", b"wrong", sha)],
+        [("d", 0, 1, 2, "2024-01-01 09:00:00", None, None)],
+        [("d", 0, 1, 2, "2024-01-01 09:00:00", None, None)],
+    ]
+    for k, rows in enumerate(batches):
+        made = spark.createDataFrame(rows, "session string, start long, stop long, size long, t string, data binary, sha256 string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+        made.coalesce(1).write.parquet(str(src / f"n={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    for _ in range(2):  # a second run finds nothing new and gives the state back from the checkpoint
+        q = session_progress(stream).writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120) and q.exception() is None
+    got = {(r.session, r.received, r.state) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 5, "open"), ("b", 4, "open"), ("a", 10, "complete"), ("b", 6, "open"), ("b", 6, "expired"), ("d", 1, "open")}
 
 
 def test_retries_are_dropped(spark, tmp_path):
@@ -49,4 +58,5 @@ def test_operation_stream(spark, tmp_path):
         start(_stream(spark, src, schema), str(tmp_path / name), str(tmp_path / f"cp-{name}")).awaitTermination()
         start(_stream(spark, src, schema), str(tmp_path / name), str(tmp_path / f"cp-{name}")).awaitTermination()
     assert [(r.key, r["size"]) for r in current(spark, str(tmp_path / "log")).collect()] == [("k", 7)]
+    assert tuple(live_stats(spark, str(tmp_path / "log")).first()) == ("a", 1, 7)
     assert tuple(totals(spark, str(tmp_path / "stats")).first()) == ("a", 3, 22)
