@@ -55,8 +55,8 @@ def open_sealed(nonce: Column | str, tag: Column | str, payload: Column | str, k
 
 
 def wrap_key(spark, data_key: bytes, master: bytes) -> bytes:
-    """nonce, tag and sealed key (60 bytes), without additional data."""
-    row = spark.range(1).select(F.aes_encrypt(F.lit(data_key), hidden_key(master), F.lit("GCM")).alias("s")).first()
+    """nonce, tag and sealed key (60 bytes), without additional data. Neither key is in the plan."""
+    row = spark.range(1).select(F.aes_encrypt(hidden_key(data_key), hidden_key(master), F.lit("GCM")).alias("s")).first()
     s = bytes(row.s)
     return s[:NONCE] + s[-TAG:] + s[NONCE:-TAG]
 
