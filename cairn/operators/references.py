@@ -84,3 +84,42 @@ def rename(refs: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
 def delete(refs: DataFrame, keys: DataFrame) -> DataFrame:
     """References without the given (ns, key); absent and repeated keys do no harm."""
     return refs.join(keys.select("ns", "key"), ["ns", "key"], "left_anti")
+
+
+def conditional(refs: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a web server would answer to requests for objects, bytes aside.
+
+    ``requests``: key and, where present, if_match, if_none_match, if_range (texts of entity tags, or
+    for if_range a date), if_modified_since, if_unmodified_since (timestamps) and range_header
+    ("bytes=0-9,-5"). ``refs``: key, blob_id, size, updated_at, content_type. An object's tag is its
+    quoted content address. Returns the request's columns with status (200, 206, 304, 404, 412 or
+    416), etag, last_modified (whole seconds), content_type, size and ranges (sorted as asked, half
+    open, cut to the size; null unless 206). Malformed ranges are ignored, as the protocol wants.
+    """
+    names = {"if_match": "string", "if_none_match": "string", "if_range": "string", "range_header": "string", "if_modified_since": "timestamp", "if_unmodified_since": "timestamp"}
+    asked = requests.select("key", *[(F.col(c) if c in requests.columns else F.lit(None)).cast(kind).alias(c) for c, kind in names.items()])
+    got = asked.join(refs.select("key", "blob_id", "size", "content_type", F.date_trunc("second", "updated_at").alias("last_modified")), "key", "left")
+    tag = F.concat(F.lit('"'), "blob_id", F.lit('"'))
+
+    def named(header: str, weak: bool) -> Column:
+        tags = F.transform(F.split(F.col(header), ","), lambda t: F.regexp_replace(F.trim(t), "^W/", "") if weak else F.trim(t))
+        return (F.trim(header) == "*") | F.array_contains(tags, tag)
+
+    failed = F.when(F.col("if_match").isNotNull(), ~named("if_match", False)).otherwise(F.coalesce(F.col("last_modified") > F.col("if_unmodified_since"), F.lit(False)))
+    same = F.when(F.col("if_none_match").isNotNull(), named("if_none_match", True)).otherwise(F.coalesce(F.col("last_modified") <= F.col("if_modified_since"), F.lit(False)))
+    applies = F.col("if_range").isNull() | (F.trim("if_range") == tag) | F.coalesce(F.try_to_timestamp("if_range") == F.col("last_modified"), F.lit(False))
+    well = F.col("range_header").rlike(r"^bytes=\s*(\d{1,18}-\d{0,18}|-\d{1,18})(\s*,\s*(\d{1,18}-\d{0,18}|-\d{1,18}))*\s*$")
+
+    def span(part: Column) -> Column:
+        first, last = F.trim(F.split(part, "-")[0]).try_cast("long"), F.trim(F.get(F.split(part, "-"), F.lit(1))).try_cast("long")
+        start = F.when(first.isNull(), F.greatest(F.col("size") - last, F.lit(0).cast("long"))).otherwise(first)
+        stop = F.when(first.isNull() | last.isNull(), F.col("size")).otherwise(F.least(last + 1, F.col("size")))
+        return F.struct(start.alias("start"), stop.alias("stop"))
+
+    spans = F.transform(F.split(F.regexp_replace("range_header", "^bytes=", ""), ","), span)
+    backward = F.exists(F.split(F.regexp_replace("range_header", "^bytes=", ""), ","), lambda p: F.coalesce(F.trim(F.split(p, "-")[0]).try_cast("long") > F.trim(F.get(F.split(p, "-"), F.lit(1))).try_cast("long"), F.lit(False)))
+    inside = F.filter(spans, lambda r: r["start"] < r["stop"])
+    partial = F.coalesce(well & ~backward & applies, F.lit(False))
+    status = F.when(F.col("blob_id").isNull(), 404).when(failed, 412).when(same, 304).when(partial & (F.size(inside) == 0), 416).when(partial, 206).otherwise(200)
+    out = got.withColumn("status", status)
+    return out.select("key", *[c for c in names if c in requests.columns], "status", tag.alias("etag"), "last_modified", "content_type", "size", F.when(F.col("status") == 206, inside).alias("ranges"))
