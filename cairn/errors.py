@@ -54,6 +54,11 @@ class Closed(StoreError):
         super().__init__("the store is closed")
 
 
+class UnsupportedFormat(StoreError):
+    def __init__(self, found, known: int) -> None:
+        super().__init__(f"the store has format {found}, this library reads {known}")
+
+
 class Conflict(StoreError):
     """Another writer committed first; the change was built on an older version."""
 

@@ -90,6 +90,11 @@ def read_ranges(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> Da
     before the join back, so a range costs its own bytes. A range without bytes gives no row.
     """
     hit = chunks.join(ranges, list(keys)).where((F.col("offset") < F.col("stop")) & (F.col("offset") + F.col("length") > F.col("start")))
+    return cut_ranges(hit, keys)
+
+
+def cut_ranges(hit: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bytes of ranges from the chunks that overlap them (keys, start, stop, seq, offset, length, payload)."""
     first = F.greatest(F.col("start") - F.col("offset"), F.lit(0).cast("long"))
     last = F.least(F.col("stop") - F.col("offset"), F.col("length"))
     part = F.col("payload").substr((first + 1).cast("int"), (last - first).cast("int"))
