@@ -1,12 +1,15 @@
-"""Queries q01 to q46, each a composition of the library's operators."""
+"""Queries q01 to q66, each a composition of the library's operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from ..functions import blob_id, content_type
 from ..operators import catalog, cdc, chunks, maintenance, quota, references, stats, uploads
+from ..shared import new_path
+from ..store import KeyProvider, Namespace, ObjectStore, Options
 from ..sources import documents_as_objects, events_as_log, lineitem_as_parts, pages_as_objects, table
 
 SIZE = 1024  # fixed chunk size
@@ -204,8 +207,14 @@ def q29_cdc_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q30_cdc_dedup(spark: SparkSession, d: str) -> DataFrame:
-    each = _cdc(spark, d, payload=False).groupBy("ns", "chunk_id").agg(F.count("*").alias("n"), F.first("length").alias("length"))
-    return each.groupBy("ns").agg(F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"), F.sum(F.col("n") * F.col("length")).alias("bytes"), F.sum("length").alias("distinct_bytes"))
+    """What holds of any cut: all bytes are there, equal objects share all chunks, and no more is stored than came."""
+    c = _cdc(spark, d, payload=False)
+    each = c.groupBy("ns", "chunk_id").agg(F.count("*").alias("n"), F.first("length").alias("length"))
+    per = each.groupBy("ns").agg(F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"), F.sum(F.col("n") * F.col("length")).alias("bytes"), F.sum("length").alias("distinct_bytes"))
+    objects = _refs(spark, d).groupBy("ns").agg(F.sum("size").alias("sent"), F.count("*").alias("objects"))
+    once = _refs(spark, d).groupBy("ns", "blob_id").agg(F.first("size").alias("size")).groupBy("ns").agg(F.sum("size").alias("different"))
+    both = per.join(objects, "ns").join(once, "ns")
+    return both.select("ns", "bytes", (F.col("bytes") == F.col("sent")).alias("whole"), (F.col("distinct_bytes") <= F.col("different")).alias("no_more_than_objects"), (F.col("distinct_chunks") <= F.col("chunks")).alias("shared"))
 
 
 def q31_interval_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +254,7 @@ def q36_reap_idle(spark: SparkSession, d: str) -> DataFrame:
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
-    return t.select("doc_id", F.col("doc_id").cast("string").alias("key"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("genre"), F.substring("text", 41, 200).alias("description"))
+    return t.select("doc_id", F.col("doc_id").cast("string").alias("key"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("genre"), F.expr("substring(text, 41)").alias("description"))
 
 
 def q37_catalog_search(spark: SparkSession, d: str) -> DataFrame:
@@ -267,8 +276,11 @@ def q40_quota_admission(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q41_slug_unique(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 5).alias("title"))
-    return catalog.unique_slugs(t, "title", "doc_id").select("doc_id", "slug")
+    """Titles that collide often, also through their numbers ("src1 2" against the second "src1")."""
+    title = F.concat("source", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), (F.col("doc_id") % 4).cast("string"))).otherwise(F.lit("")))
+    t = catalog.unique_slugs(table(spark, d, "documents").select("doc_id", title.alias("title")), "title", "doc_id")
+    shared = t.groupBy("slug").agg(F.count("*").alias("holders"))
+    return t.join(shared, "slug").select("doc_id", "slug", "holders")
 
 
 def q42_mime_sniff(spark: SparkSession, d: str) -> DataFrame:
@@ -301,4 +313,215 @@ def q46_namespace_isolation(spark: SparkSession, d: str) -> DataFrame:
     return own.join(F.broadcast(both))  # one row
 
 
+class _Keys(KeyProvider):
+    """Fixed keys of the sealed example store."""
+
+    def current(self) -> tuple[str, bytes]:
+        return "v1", self.key("v1")
+
+    def key(self, version: str) -> bytes:
+        return bytes(range(32))
+
+
+def _put_all(spark: SparkSession, d: str, encrypted: bool = False) -> tuple[ObjectStore, Namespace]:
+    """A store of its own with all documents in one namespace."""
+    store = ObjectStore(spark, new_path(spark, "store"), Options(chunk_size=SIZE, fixed=True), _Keys())
+    ns = store.create_namespace("documents", encrypted=encrypted)
+    ns.put_many(_objects(spark, d).where(F.octet_length("content") > 0).select("key", "content"))
+    return store, ns
+
+
+def _docs_of(spark: SparkSession, d: str, every: int) -> DataFrame:
+    return _refs(spark, d).where(F.col("doc_id") % every == 0).select("key")
+
+
+def q47_put_get(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way through a store: one batch put, then all contents read back."""
+    _, ns = _put_all(spark, d)
+    refs = ns.refs().select("key", "blob_id", "chunk_count", "content_type")
+    return ns.get_many().select("key", "size", F.sha2("content", 256).alias("content_sha256")).join(refs, "key")
+
+
+def q48_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Every third object is deleted, the store compacted and checked."""
+    store, ns = _put_all(spark, d)
+    ns.delete_many(_docs_of(spark, d, 3))
+    store.compact(0.0)
+    bad = store.verify().count()
+    return store.stats().select("blob_count", "bytes_stored", "chunk_count", "bytes_physical", "distinct_chunk_count", "dead_chunks", "dead_bytes").withColumn("violations", F.lit(bad))
+
+
+def q49_upload_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Documents sent in parts of 700 bytes, last part first, every seventh without its second part and
+    every eleventh with a wrong hash."""
+    o = _objects(spark, d)
+    n = F.octet_length("content")
+    cut = o.where(n > 0).select("doc_id", "content", F.explode(F.sequence(F.lit(0), n - 1, F.lit(700))).alias("offset")).where("not (doc_id % 7 = 0 and offset = 700)")
+    parts = cut.select(F.col("doc_id").alias("session"), F.col("offset").cast("long").alias("offset"), (-F.col("offset")).cast("long").alias("arrival"), F.substring(F.col("content"), F.col("offset") + 1, F.lit(700)).alias("data"))
+    wrong = F.when(F.col("doc_id") % 11 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("content", 256))
+    sessions = o.where(n > 0).select(F.col("doc_id").alias("session"), n.cast("long").alias("expected_size"), wrong.alias("expected_sha256"), F.lit(0).cast("long").alias("block_size"), F.array().cast("array<string>").alias("piece_hashes"))
+    done = uploads.completion(parts, sessions)
+    return done.select(F.col("session").alias("doc_id"), "state", "received", F.sha2("content", 256).alias("content_sha256"))
+
+
+def q50_seal_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """As q47, in an encrypted namespace, with the number of stored chunks that carry a nonce and a tag."""
+    store, ns = _put_all(spark, d, encrypted=True)
+    sealed = store.chunk_rows().agg(F.count(F.when((F.octet_length("nonce") == 12) & (F.octet_length("tag") == 16), 1)).alias("sealed_chunks"))
+    return ns.get_many().select("key", "size", F.sha2("content", 256).alias("content_sha256")).join(F.broadcast(sealed))  # one row
+
+
+def q51_store_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes 1000 to 1499 and the last 10 of all objects, through a store."""
+    _, ns = _put_all(spark, d)
+    r = ns.refs().select("key", F.explode(F.array(F.struct(F.lit(1000).cast("long").alias("start"), F.lit(1500).cast("long").alias("stop")), F.struct(F.greatest(F.col("size") - 10, F.lit(0).cast("long")).alias("start"), F.col("size").alias("stop")))).alias("r")).select("key", "r.*")
+    return ns.read_ranges(r).select("key", "start", "stop", F.hex("bytes").alias("bytes_hex"))
+
+
+def q52_namespace_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Namespaces of two languages in one store; one is deleted and created again, and shares nothing."""
+    store = ObjectStore(spark, new_path(spark, "store"), Options(chunk_size=SIZE, fixed=True))
+    o = _objects(spark, d).where(F.octet_length("content") > 0)
+    for name in ("en", "de"):
+        store.create_namespace(name).put_many(o.where(F.col("ns") == name).select("key", "content"))
+    store.delete_namespace("de")
+    store.create_namespace("de")
+    return store.stats().select("ns", "blob_count", "bytes_stored", "chunk_count", "bytes_physical", "distinct_chunk_count")
+
+
+def q53_multi_get(spark: SparkSession, d: str) -> DataFrame:
+    """References at requested positions; every other key is absent."""
+    refs = _refs(spark, d).select("ns", "key", "size")
+    asked = _refs(spark, d).select(F.col("doc_id").alias("pos"), "ns", F.when(F.col("doc_id") % 2 == 0, F.col("key")).otherwise(F.concat(F.lit("absent/"), "key")).alias("key"))
+    return references.multi_get(refs, asked).select("pos", "key", "size")
+
+
+def q54_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Identifier, predicate and flag expressions over all documents."""
+    n = F.col("size")
+    flags = (F.col("doc_id") % 8).cast("int")
+    return _refs(spark, d).select(
+        "doc_id",
+        fn.legacy_chunk_id("blob_id", F.col("doc_id")).alias("legacy_id"),
+        fn.segment_hex("doc_id").alias("segment"),
+        fn.page_count(n).alias("pages"),
+        fn.block_count(n, F.lit(512)).alias("blocks"),
+        fn.etag("blob_id").alias("etag"),
+        fn.safe_filename("key").alias("filename"),
+        fn.effective_uid(F.when(F.col("doc_id") % 3 == 0, "").otherwise("uid"), "ns").alias("uid"),
+        fn.first_non_empty(F.when(F.col("doc_id") % 2 == 0, ""), "ns").alias("shown"),
+        fn.is_namespace_id("ns").alias("ns_ok"),
+        fn.is_uid("key").alias("uid_ok"),
+        fn.is_session_id(F.substring("blob_id", 8, 32)).alias("session_ok"),
+        fn.has_flag(flags, 2).alias("last_chunk"),
+        fn.set_flag(flags, 1).alias("deleted"),
+        fn.clear_flag(flags, 4).alias("plain"),
+        fn.flags_of_magic(fn.encode_magic_flags(flags)).alias("decoded"),
+    )
+
+
+def q55_running_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets from lengths alone."""
+    return chunks.with_offsets(_chunks(spark, d).drop("offset"), ["doc_id"]).select("doc_id", F.col("seq").cast("long").alias("seq"), "offset", "length")
+
+
+def q56_first_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 512 bytes of all chunks on sixteen segments; every fifth document's copies are marked deleted."""
+    c = _chunks(spark, d).select("ns", F.pmod("doc_id", F.lit(16)).alias("segment"), "chunk_id", "doc_id", "seq", "length")
+    page = c.select("ns", "segment", "chunk_id", F.explode(F.expr("sequence(0L, (length - 1) DIV 512)")).alias("p"), ((F.col("doc_id") * 1_000_000) + F.col("seq") * 4).alias("at"), "length", (F.col("doc_id") % 5 == 0).alias("deleted"))
+    pages = page.select("ns", "segment", (F.col("at") + F.col("p")).alias("page_offset"), "chunk_id", F.when(F.col("p") == 0, 1).otherwise(0).alias("total_chunks"), F.least(F.lit(512).cast("long"), F.col("length") - F.col("p") * 512).alias("length"), "deleted")
+    return maintenance.first_copies(pages)
+
+
+def q57_upgrade_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk records after the upgrade: one global record a chunk, owned by the last namespace; the others'
+    are repaired from their pages, but pages of documents that 3 divides are lost."""
+    c = _chunks(spark, d)
+    counts = c.groupBy("ns", "chunk_id").agg(F.count("*").alias("ref_count"))
+    owner = c.groupBy("chunk_id").agg(F.max("ns").alias("ns"), F.first("length").alias("length"))
+    scanned = c.where("doc_id % 3 <> 0").groupBy("ns", "chunk_id").agg(F.first("length").alias("length"))
+    return maintenance.upgrade_chunks(counts, owner, scanned)
+
+
+def q58_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Log entries of all objects against a store that lost the manifests of every fourth document."""
+    c = _chunks(spark, d)
+    entries = c.select("blob_id", F.lit("seg").alias("segment"), F.col("doc_id").alias("entry"), "chunk_id", "length", F.col("seq").alias("pos"))
+    known = _manifests(spark, d).join(_refs(spark, d).where("doc_id % 4 <> 0").select("blob_id"), "blob_id", "left_semi")
+    return maintenance.unregistered(entries, known).select("blob_id", "total_size", F.size("chunks").cast("long").alias("chunk_count"))
+
+
+def q59_accept_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of sessions of 1,000 bytes in blocks of 100: the first 150 bytes of every document, sent at 100 * (id % 12),
+    with a wrong checksum for every ninth, to sessions that only ids not divisible by 10 have."""
+    o = _objects(spark, d)
+    data = F.substring(F.col("content"), 1, F.when(F.col("doc_id") % 4 == 0, 150).otherwise(100))
+    parts = o.select(F.col("doc_id").alias("session"), (F.col("doc_id") % 12 * 100).alias("offset"), data.alias("data")).withColumn("sha256", F.when(F.col("session") % 9 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("data", 256)))
+    sessions = o.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("session"), F.lit(1000).cast("long").alias("expected_size"), F.lit(100).cast("long").alias("block_size"))
+    return uploads.accept_parts(parts, sessions).select("session", "offset", "reason")
+
+
+def q60_assemble(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping parts: bytes 0 to 999 arrive first, then 300 to 599 again as x."""
+    o = _objects(spark, d).where(F.octet_length("content") >= 1000)
+    first = o.select(F.col("doc_id").alias("session"), F.lit(1).cast("long").alias("arrival"), F.lit(0).cast("long").alias("offset"), F.substring(F.col("content"), 1, F.lit(1000)).alias("data"))
+    second = o.select(F.col("doc_id").alias("session"), F.lit(2).cast("long").alias("arrival"), F.lit(300).cast("long").alias("offset"), F.encode(F.repeat(F.lit("x"), 300), "UTF-8").alias("data"))
+    return uploads.assemble(first.unionByName(second)).select("session", F.hex("content").alias("content_hex"))
+
+
+def q61_shared_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk ids that documents of two kinds of sources have in common."""
+    return chunks.shared_chunks(_chunks(spark, d), F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1)
+
+
+def q62_catalog_view(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue rows from custom maps; every third title is empty and every fourth map lacks a genre."""
+    t = table(spark, d, "documents")
+    full = F.create_map(F.lit("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")), F.lit("genre"), F.col("lang"))
+    custom = F.when(F.col("doc_id") % 4 == 0, F.map_filter(full, lambda k, _: k != "genre")).otherwise(full)
+    refs = t.select(F.col("doc_id").cast("string").alias("key"), custom.alias("custom"), F.col("n_chars").alias("size"), F.lit("text/plain").alias("content_type"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+    return catalog.catalog_view(refs).select("key", "title", "genre", "year", "description", "size")
+
+
+def q63_conditional(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of eight kinds, a kind a document."""
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
+    refs = _refs(spark, d).select("key", "doc_id", "blob_id", "size", when.alias("updated_at"), F.lit("text/plain").alias("content_type"))
+    kind = F.col("doc_id") % 8
+    tag = fn.etag("blob_id")
+    asked = refs.select(
+        F.when(kind == 7, F.concat(F.lit("absent/"), "key")).otherwise(F.col("key")).alias("key"),
+        F.when(kind == 1, tag).when(kind == 2, F.lit('"other"')).alias("if_none_match"),
+        F.when(kind == 3, F.lit('"other"')).alias("if_match"),
+        F.when(kind == 4, when).alias("if_modified_since"),
+        F.when(kind == 5, F.lit("bytes=10-19,-5")).when(kind == 6, F.lit("bytes=50-9")).when(kind == 2, F.lit("bytes=100000000-")).alias("range_header"),
+    )
+    got = references.conditional(refs, asked)
+    return got.select("key", F.col("status").cast("long").alias("status"), "etag", F.transform("ranges", lambda r: F.concat_ws("-", r["start"].cast("string"), r["stop"].cast("string"))).alias("r")).select("key", "status", "etag", F.array_join("r", ",").alias("spans"))
+
+
+def q64_attach(spark: SparkSession, d: str) -> DataFrame:
+    """Every document hangs on the one with half its id; parents exist where 3 doesn't divide them."""
+    t = table(spark, d, "documents")
+    rows = t.select("doc_id", F.floor(F.col("doc_id") / 2).cast("string").alias("parent"), F.col("n_chars").alias("size"))
+    parents = t.where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("key"))
+    return catalog.attach(rows, parents, most=2000).select("doc_id", "reason")
+
+
+def q65_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that go with every tenth document."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.floor(F.col("doc_id") / 2).cast("string").alias("parent"), "doc_id")
+    return catalog.cascade(t.where("doc_id % 10 = 0"), t)
+
+
+def q66_segment_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Dead chunks by chunk folder after every third object was deleted; the folders' order, not their names."""
+    store, ns = _put_all(spark, d)
+    ns.delete_many(_docs_of(spark, d, 3))
+    place = {f: i for i, f in enumerate(store.list_segments())}
+    rows = store.segment_stats()
+    number = F.coalesce(*[F.when(F.col("segment") == f, F.lit(i)) for f, i in place.items()]).cast("long")
+    return rows.select(number.alias("segment"), "chunks_total", "chunks_dead", "bytes_total", "bytes_dead")
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}

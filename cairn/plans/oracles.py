@@ -99,8 +99,13 @@ ORACLES: dict[str, str] = {
         hurt AS (SELECT DISTINCT ns, chunk_id FROM chunk WHERE doc_id % 11 = 0 AND seq = 0),
         bad AS (SELECT ns, chunk_id, 'chunk missing' AS reason FROM gone UNION ALL SELECT ns, chunk_id, 'crc mismatch' FROM hurt h WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.ns = h.ns AND g.chunk_id = h.chunk_id))
         SELECT c.ns, c.key, c.seq, c.chunk_id, b.reason FROM chunk c JOIN bad b USING (ns, chunk_id)""",
+    "q27_crc32": """WITH table_ AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END) AS c FROM range(256) r(i)))
+        SELECT doc_id, xor(4294967295, list_reduce([4294967295] || CAST(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1,', 'g'), ','), ',').list_transform(lambda h: ('0x' || h)::BIGINT) AS BIGINT[]),
+                 lambda x, y: xor(x // 256, t[xor(x % 256, y) + 1]))) AS crc32
+        FROM documents, table_""",
     "q28_cdc_roundtrip": "SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS content_sha256 FROM documents",
     "q29_cdc_bounds": "SELECT lang AS ns, CAST(0 AS BIGINT) AS violations, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY lang",
+    "q30_cdc_dedup": f"WITH {_OBJ} SELECT ns, CAST(sum(size) AS BIGINT) AS bytes, true AS whole, true AS no_more_than_objects, true AS shared FROM obj GROUP BY ns",
     "q31_interval_merge": f"WITH {_merged()} SELECT session, start, stop FROM merged",
     "q32_received_bytes": f"WITH {_merged()} SELECT session, CAST(sum(stop - start) AS BIGINT) AS received FROM merged GROUP BY session",
     "q33_complete": f"""WITH {_merged('(CASE WHEN start < 30 THEN 0 ELSE start END)')}
@@ -110,7 +115,7 @@ ORACLES: dict[str, str] = {
         SELECT session, min(block) * 16 AS start, least((max(block) + 1) * 16, 250) AS stop FROM i GROUP BY session, g""",
     "q36_reap_idle": "SELECT user_id, max(ts) AS last_activity FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 36 HOUR",
     "q37_catalog_search": """SELECT doc_id, substr(text, 1, 40) AS title, lang AS genre FROM documents
-        WHERE lower(lang) = 'en' AND contains(lower(substr(text, 1, 40) || ' ' || lang || ' ' || substr(text, 41, 200)), 'thore')""",
+        WHERE lower(lang) = 'en' AND contains(lower(substr(text, 1, 40) || ' ' || lang || ' ' || substr(text, 41)), 'thore')""",
     "q38_facets": "SELECT DISTINCT lang AS genre FROM documents WHERE lang <> ''",
     "q39_existence_flag": "SELECT doc_id, source, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS has_label FROM documents d",
     "q40_quota_admission": f"""WITH RECURSIVE {_OBJ}, o AS (SELECT ns, doc_id, size, row_number() OVER (PARTITION BY ns ORDER BY doc_id) AS n FROM obj),
@@ -122,9 +127,18 @@ ORACLES: dict[str, str] = {
           FROM run r JOIN o ON o.ns = r.ns AND o.n = r.n + 1,
                LATERAL (SELECT CASE WHEN r.c >= 80 THEN 'blob_count' WHEN r.b + o.size > 150000 THEN 'bytes' WHEN o.size > 6000 THEN 'blob_size' END AS reason) t)
         SELECT ns, doc_id, size, reason FROM run""",
-    "q41_slug_unique": """WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substr(text, 1, 5))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS b FROM documents),
-        t AS (SELECT doc_id, CASE WHEN b = '' THEN 'movie' ELSE b END AS b FROM s), n AS (SELECT doc_id, b, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS n FROM t)
-        SELECT doc_id, CASE WHEN n = 1 THEN b ELSE b || '-' || n END AS slug FROM n""",
+    "q41_slug_unique": """WITH RECURSIVE t AS (
+          SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n,
+                 trim(regexp_replace(lower(trim(source || CASE WHEN doc_id % 5 = 0 THEN ' ' || (doc_id % 4) ELSE '' END)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents),
+        b AS (SELECT doc_id, n, CASE WHEN s = '' THEN 'movie' ELSE s END AS s FROM t),
+        run AS (
+          SELECT n, doc_id, s AS slug, [s] AS taken FROM b WHERE n = 1
+          UNION ALL
+          SELECT y.n, y.doc_id, y.slug, list_append(r.taken, y.slug) FROM run r JOIN LATERAL (
+            SELECT b.n, b.doc_id, CASE WHEN NOT list_contains(r.taken, b.s) THEN b.s ELSE
+              b.s || '-' || list_min(list_filter(range(2, len(list_filter(r.taken, lambda x: starts_with(x, b.s))) + 3), lambda k: NOT list_contains(r.taken, b.s || '-' || k))) END AS slug
+            FROM b WHERE b.n = r.n + 1) y ON true)
+        SELECT doc_id, slug, count(*) OVER (PARTITION BY slug) AS holders FROM run""",
     "q42_mime_sniff": "SELECT 'text/plain; charset=utf-8' AS content_type, count(*) AS objects FROM documents UNION ALL SELECT 'text/html; charset=utf-8', count(*) FROM pages",
     "q43_upgrade_recount": f"WITH {_CHUNK} SELECT ns, chunk_id, count(*) AS ref_count FROM chunk GROUP BY ns, chunk_id",
     "q44_orphans": f"""WITH {_CHUNK}, owner AS (SELECT chunk_id, max(ns) AS ns FROM chunk GROUP BY chunk_id),
@@ -132,5 +146,44 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT o.ns, l.blob_id FROM loose l JOIN chunk c ON c.blob_id = l.blob_id AND c.seq = 0 JOIN owner o USING (chunk_id) WHERE o.ns <> 'es'""",
     "q45_part_retry_dedup": f"WITH {_PART} SELECT session, start, stop, min(arrival) AS arrival FROM part_ GROUP BY session, start, stop",
     "q46_namespace_isolation": f"""WITH {_CHUNK} SELECT source AS ns, count(*) AS chunks, count(DISTINCT chunk_id) AS stored_chunks, (SELECT count(DISTINCT chunk_id) FROM chunk) AS global_chunks FROM chunk GROUP BY source""",
+    "q47_put_get": f"""WITH {_OBJ} SELECT key, size, sha256(text) AS content_sha256, blob_id, CAST(ceil(size / 1024.0) AS BIGINT) AS chunk_count, 'text/plain; charset=utf-8' AS content_type FROM obj WHERE size > 0""",
+    "q48_compact": f"""WITH {_CHUNK}, live AS (SELECT * FROM chunk WHERE doc_id % 3 <> 0), once AS (SELECT chunk_id, any_value(length) AS length FROM live GROUP BY chunk_id)
+        SELECT (SELECT count(*) FROM obj WHERE size > 0 AND doc_id % 3 <> 0) AS blob_count, (SELECT CAST(sum(size) AS BIGINT) FROM obj WHERE doc_id % 3 <> 0) AS bytes_stored, (SELECT count(*) FROM live) AS chunk_count,
+               CAST(sum(length) AS BIGINT) AS bytes_physical, count(*) AS distinct_chunk_count, CAST(0 AS BIGINT) AS dead_chunks, CAST(0 AS BIGINT) AS dead_bytes, 0 AS violations FROM once""",
+    "q49_upload_complete": f"""WITH {_OBJ}, p AS (SELECT *, doc_id % 7 = 0 AND size > 700 AS gap FROM obj WHERE size > 0)
+        SELECT doc_id, CASE WHEN gap THEN 'incomplete' WHEN doc_id % 11 = 0 THEN 'checksum mismatch' ELSE 'complete' END AS state,
+               CASE WHEN gap THEN size - least(700, size - 700) ELSE size END AS received, CASE WHEN NOT gap AND doc_id % 11 <> 0 THEN sha256(text) END AS content_sha256 FROM p""",
+    "q50_seal_roundtrip": f"""WITH {_CHUNK} SELECT key, size, sha256(text) AS content_sha256, (SELECT count(DISTINCT chunk_id) FROM chunk) AS sealed_chunks FROM obj WHERE size > 0""",
+    "q51_store_ranges": f"""WITH {_OBJ}, r AS (SELECT key, CAST(1000 AS BIGINT) AS start, CAST(1500 AS BIGINT) AS stop, size, hex(encode(text)) AS h FROM obj UNION ALL SELECT key, greatest(size - 10, 0), size, size, hex(encode(text)) FROM obj)
+        SELECT key, start, stop, substr(h, 2 * start + 1, 2 * (least(stop, size) - start)) AS bytes_hex FROM r WHERE start < size AND start < stop""",
+    "q52_namespace_lifecycle": f"""WITH {_CHUNK}, own AS (SELECT chunk_id, any_value(length) AS length FROM chunk WHERE ns = 'en' GROUP BY chunk_id)
+        SELECT 'en' AS ns, (SELECT count(*) FROM obj WHERE ns = 'en' AND size > 0) AS blob_count, (SELECT CAST(sum(size) AS BIGINT) FROM obj WHERE ns = 'en') AS bytes_stored, (SELECT count(*) FROM chunk WHERE ns = 'en') AS chunk_count,
+               (SELECT CAST(sum(length) AS BIGINT) FROM own) AS bytes_physical, (SELECT count(*) FROM own) AS distinct_chunk_count
+        UNION ALL SELECT 'de', 0, 0, 0, 0, 0""",
+    "q53_multi_get": f"""WITH {_OBJ} SELECT doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN key ELSE 'absent/' || key END AS key, CASE WHEN doc_id % 2 = 0 THEN size END AS size FROM obj""",
+    "q54_identifiers": f"""WITH {_OBJ} SELECT doc_id, blob_id || '#' || doc_id AS legacy_id, lpad(lower(hex(doc_id)), 16, '0') AS segment, greatest(1, CAST(ceil(size / 16296.0) AS BIGINT)) AS pages, CAST(ceil(size / 512.0) AS BIGINT) AS blocks,
+               '"' || blob_id || '"' AS etag, lpad(CAST(doc_id AS VARCHAR), 8, '0') AS filename, CASE WHEN doc_id % 3 = 0 THEN ns ELSE 'uid' END AS uid, ns AS shown,
+               regexp_full_match(ns, '[a-z0-9][a-z0-9_-]{{0,61}}[a-z0-9]') AS ns_ok, regexp_full_match(key, '[a-z0-9_-]{{1,64}}') AS uid_ok, true AS session_ok,
+               doc_id % 8 & 2 <> 0 AS last_chunk, CAST(doc_id % 8 | 1 AS INTEGER) AS deleted, CAST(doc_id % 8 & 251 AS INTEGER) AS plain, CAST(doc_id % 8 AS INTEGER) AS decoded FROM obj""",
+    "q55_running_offsets": f"WITH {_CHUNK} SELECT doc_id, seq, \"offset\", length FROM chunk",
+    "q56_first_copies": f"""WITH {_CHUNK}, c AS (SELECT ns, doc_id % 16 AS segment, chunk_id, doc_id * 1000000 + seq * 4 AS page_offset, CAST(ceil(length / 512.0) AS BIGINT) AS page_count, length FROM chunk WHERE doc_id % 5 <> 0)
+        SELECT ns, chunk_id, segment, page_offset, page_count, length FROM (SELECT *, row_number() OVER (PARTITION BY ns, chunk_id ORDER BY segment, page_offset) AS r FROM c) WHERE r = 1""",
+    "q57_upgrade_chunks": f"""WITH {_CHUNK}, n AS (SELECT ns, chunk_id, count(*) AS ref_count, any_value(length) AS length, bool_or(doc_id % 3 <> 0) AS page FROM chunk GROUP BY ns, chunk_id), o AS (SELECT chunk_id, max(ns) AS owner FROM chunk GROUP BY chunk_id)
+        SELECT ns, chunk_id, ref_count, CASE WHEN ns = owner OR page THEN length END AS length, CASE WHEN ns = owner THEN 'record' WHEN page THEN 'page' ELSE 'lost' END AS recovered FROM n JOIN o USING (chunk_id)""",
+    "q58_replay": f"""WITH {_OBJ} SELECT blob_id, any_value(size) AS total_size, CAST(ceil(any_value(size) / 1024.0) AS BIGINT) AS chunk_count FROM obj WHERE size > 0 GROUP BY blob_id HAVING bool_and(doc_id % 4 = 0)""",
+    "q59_accept_parts": f"""WITH {_OBJ}, p AS (SELECT doc_id AS session, doc_id % 12 * 100 AS "offset", least(size, CASE WHEN doc_id % 4 = 0 THEN 150 ELSE 100 END) AS n FROM obj)
+        SELECT session, "offset", CASE WHEN session % 10 = 0 THEN 'unknown session' WHEN "offset" + n > 1000 THEN 'out of bounds'
+               WHEN n = 0 OR (n % 100 <> 0 AND "offset" + n <> 1000) THEN 'unaligned' WHEN session % 9 = 0 THEN 'checksum mismatch' END AS reason FROM p""",
+    "q60_assemble": f"""WITH {_OBJ} SELECT doc_id AS session, substr(hex(encode(text)), 1, 600) || repeat('78', 300) || substr(hex(encode(text)), 1201, 800) AS content_hex FROM obj WHERE size >= 1000""",
+    "q61_shared_chunks": f"""WITH {_CHUNK} SELECT chunk_id FROM chunk WHERE doc_id % 2 = 0 INTERSECT SELECT chunk_id FROM chunk WHERE doc_id % 2 = 1""",
+    "q62_catalog_view": """SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE source END AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS genre, '' AS year, '' AS description, n_chars AS size FROM documents""",
+    "q63_conditional": f"""WITH {_OBJ}, k AS (SELECT *, doc_id % 8 AS kind FROM obj)
+        SELECT CASE WHEN kind = 7 THEN 'absent/' || key ELSE key END AS key,
+               CASE kind WHEN 7 THEN 404 WHEN 1 THEN 304 WHEN 2 THEN 416 WHEN 3 THEN 412 WHEN 4 THEN 304 WHEN 5 THEN 206 ELSE 200 END::BIGINT AS status, CASE WHEN kind <> 7 THEN '"' || blob_id || '"' END AS etag,
+               CASE WHEN kind = 5 THEN CASE WHEN size > 10 THEN '10-' || least(20, size) || ',' ELSE '' END || greatest(size - 5, 0) || '-' || size END AS spans FROM k""",
+    "q64_attach": """SELECT doc_id, CASE WHEN (doc_id // 2) % 3 = 0 OR NOT EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id // 2) THEN 'parent not found' WHEN n_chars > 2000 THEN 'too large' END AS reason FROM documents d""",
+    "q65_cascade": """SELECT DISTINCT CAST(doc_id AS VARCHAR) AS key FROM documents d WHERE doc_id % 10 = 0 OR EXISTS (SELECT 1 FROM documents p WHERE p.doc_id = d.doc_id // 2 AND p.doc_id % 10 = 0)""",
+    "q66_segment_folders": f"""WITH {_CHUNK}, n AS (SELECT chunk_id, any_value(length) AS length, bool_and(doc_id % 3 = 0) AS dead FROM chunk GROUP BY chunk_id)
+        SELECT CAST(0 AS BIGINT) AS segment, count(*) AS chunks_total, count(*) FILTER (dead) AS chunks_dead, CAST(sum(length) AS BIGINT) AS bytes_total, CAST(coalesce(sum(length) FILTER (dead), 0) AS BIGINT) AS bytes_dead FROM n""",
 }
 ORACLES = {k: textwrap.dedent(v).strip() for k, v in ORACLES.items()}
