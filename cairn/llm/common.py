@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop_path, new_path
+
 #: Text handled by one vectorised step; a longer single text is one step by itself.
 STEP_BYTES = 2 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share; a temporary one only where none is set (tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    here = getattr(spark, "_cairn_shared", None)
-    if here is None:
-        here = "file://" + tempfile.mkdtemp(prefix="cairn-shared-")
-        spark._cairn_shared = here
-    return here
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/cairn-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
@@ -44,12 +22,6 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def drop_stored(df: DataFrame) -> None:
     """Delete the table behind ``store``'s result, once no plan reads it any more."""
     spark = df.sparkSession
@@ -58,15 +30,6 @@ def drop_stored(df: DataFrame) -> None:
             drop_path(spark, f)
 
 
-@atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
-
-
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n+1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

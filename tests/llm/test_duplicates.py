@@ -12,7 +12,7 @@ from cairn.llm.common import words
 from cairn.llm.graph import connected_components
 from cairn.llm.neardup import near_duplicates, shingle_sets, signatures
 from cairn.llm.substring import dedup_substrings
-from cairn.llm.vectors import CoverTree, near_vectors
+from cairn.llm.vectors import CoverTree, judge, near_vectors, open_links, refine, tight
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, n_words int"
@@ -150,27 +150,70 @@ def test_components(spark):
     assert got == {k: find(k) for k in parent}
 
 
-@pytest.mark.parametrize("block,centres", [(4096, 256), (16, 8)])
-def test_vectors(spark, block, centres):
-    rng = np.random.default_rng(4)
-    base = rng.normal(size=(12, 16))
-    x = np.concatenate([base[rng.integers(0, 12, 150)] + rng.normal(size=(150, 16)) * rng.choice([0.01, 0.2, 0.3], (150, 1)), rng.normal(size=(100, 16))]).astype(np.float32)
-    data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    data += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] + [1.0] * 15, 0), (903, [None] + [1.0] * 15, 0), (904, [float("inf")] * 16, 0), (905, [], 0), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0), (908, [1e-30] * 3, 0), (909, [2e-30] * 3, 0)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, block=block, centres=centres, sample=64).collect()}
+def brute_vectors(x):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
     near = (u @ u.T) >= 0.95
     np.fill_diagonal(near, False)
     label = np.arange(len(u))
-    for _ in range(len(u)):
-        label = np.minimum(label, np.where(near, label[None, :], len(u)).min(1))
-    want = {i: (int(near[i].sum()), int(label[i]), int(label[i]) == i) for i in range(len(u))}
-    want |= {i: (0, i, True) for i in range(900, 906)} | {906: (1, 906, True), 907: (1, 906, False), 908: (1, 908, True), 909: (1, 908, False)}
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(u)).min(1))
+        if (new == label).all():
+            return {i: (int(near[i].sum()), int(label[i]), int(label[i]) == i) for i in range(len(u))}
+        label = new
+
+
+@pytest.mark.parametrize("block,centres,sample", [(4096, 1024, 4096), (16, 8, 64)])
+def test_vectors(spark, block, centres, sample):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 16))
+    x = np.concatenate([base[rng.integers(0, 12, 150)] + rng.normal(size=(150, 16)) * rng.choice([0.01, 0.2, 0.3], (150, 1)), rng.normal(size=(100, 16)), np.tile(base[:2], (20, 1))]).astype(np.float32)
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    data += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] + [1.0] * 15, 0), (903, [None] + [1.0] * 15, 0), (904, [float("inf")] * 16, 0), (905, [], 0), (906, [1.0, 2.0], 0), (907, [2.0, 4.0], 0), (908, [1e-30] * 3, 0), (909, [2e-30] * 3, 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, block=block, centres=centres, sample=sample).collect()}
+    want = brute_vectors(x) | {i: (0, i, True) for i in range(900, 906)} | {906: (1, 906, True), 907: (1, 906, False), 908: (1, 908, True), 909: (1, 908, False)}
     assert got == want
 
 
+def clusters(n, per, dim, noise, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = np.repeat(base, per, 0) + rng.normal(size=(n * per, dim)) * noise
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_many_clusters_prune(spark):
+    """Of 2,000 separate clusters less than a twentieth of all pairs is compared, cells included."""
+    x = clusters(2000, 5, 24, 0.02, 8)
+    reach = float(np.sqrt(0.1))
+    blocks, compared = [x[k : k + 2000] for k in range(0, len(x), 2000)], 0
+    cut = [refine(b, reach) for b in blocks]
+    for i in range(len(blocks)):
+        for j in range(i, len(blocks)):
+            (cx, hx, fx), (cy, hy, fy) = cut[i], cut[j]
+            _, may = judge(blocks[i][hx], fx, blocks[j][hy], fy, reach)
+            compared += len(hx) * len(hy) + int(np.bincount(cx, minlength=len(hx)) @ may @ np.bincount(cy, minlength=len(hy)))
+    assert compared < 0.05 * len(x) ** 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:4000])], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, block=500).collect()}
+    assert got == brute_vectors(x[:4000])
+
+
+def test_tight_cells_are_counted_whole():
+    x = clusters(3, 400, 16, 0.01, 5)
+    reach = float(np.sqrt(0.1))
+    cell, head, far = refine(x, reach)
+    inside, may = judge(x[head], far, x[head], far, reach)
+    size = np.bincount(cell)
+    assert tight(far, reach).all() and (inside | may).any(1).all() and size @ may @ size < 0.05 * len(x) ** 2
+    known = np.zeros((len(x), len(x)), bool)
+    for i, j in open_links(x, cell, x, cell, may, 0.95):
+        known[i, j] = True
+    assert ((known | inside[cell][:, cell]) == (x @ x.T >= 0.95)).all()
+
+
 def test_vector_edges(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in near_vectors(df).collect())
@@ -178,20 +221,23 @@ def test_vector_edges(spark):
     assert near_vectors(df.limit(0)).count() == 0 and near_vectors(df.where("vec_id is null")).count() == 1
 
 
-def test_cover_tree():
+@pytest.mark.parametrize("most", [100, 1000])
+def test_cover_tree(most):
     rng = np.random.default_rng(0)
     p = rng.normal(size=(300, 4))
     p /= np.linalg.norm(p, axis=1)[:, None]
-    tree = CoverTree(p, 100)
-    radius = 2.0
-    for level, parent, above in zip(tree.levels[1:], tree.parents[1:], tree.levels):
-        d = np.linalg.norm(p[level] - p[above][parent], axis=1)
-        assert (d <= radius + 1e-9).all() and set(above) <= set(level)
-        radius /= 2
+    tree = CoverTree(p, most, 0.1)
+    assert len(tree.levels[-1]) == most or len(tree.levels[-1]) > 200
+    for k in range(1, len(tree.levels)):
+        level, above = tree.levels[k], tree.levels[k - 1]
+        d = np.linalg.norm(p[level] - p[above][tree.parents[k]], axis=1)
+        apart = np.linalg.norm(p[level][:, None] - p[level][None], axis=2) + 9 * np.eye(len(level))
+        assert (d <= tree.radii[k] * 2 + 1e-9).all() and set(above) <= set(level) and apart.min() > tree.radii[k]
+    assert sorted(tree.order().tolist()) == list(range(len(tree.leaves)))
     cell = np.linalg.norm(p[:, None] - tree.leaves[None], axis=2)
     own = cell.argmin(1)
     far = np.array([cell[own == k, k].max(initial=0) for k in range(len(tree.leaves))])
-    kept = {tuple(sorted(x)) for x in tree.near_pairs(far, 0.1)}
+    kept = {tuple(sorted(x)) for x in tree.near_pairs(far, 0.1).tolist()}
     need = {tuple(sorted((int(own[i]), int(own[j])))) for i in range(300) for j in range(300) if np.linalg.norm(p[i] - p[j]) <= 0.1}
     assert need <= kept and len(kept) < len(tree.leaves) * (len(tree.leaves) + 1) / 2
 
