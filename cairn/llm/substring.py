@@ -18,6 +18,8 @@ _RUNS = "k long, b long, doc long, dk long, p long"
 _MARKS = "doc long, dk long, p long, status int"
 _Q1, _Q2 = 0x9E3779B97F4A7C15, 0xC6A4A7935BD1E995
 _FLUSH = 1_500_000
+_BITS = 16  # of p: the number of windows of a run; above them the first window's word
+_LOW = (1 << _BITS) - 1
 _OPEN, _MARKER = 1 << 62, 1 << 61  # in p: a run to be checked in any case; a symbol known to be shared
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -234,7 +236,8 @@ def _sorted_groups(df: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, *, window: int = 20, hot: int = 64) -> DataFrame:
-    """Marks (doc, dk, p) of word windows that start earlier elsewhere; p is 32 * first window + windows.
+    """Marks (doc, dk, p) of word windows that start earlier elsewhere; p is the first window
+    shifted by 16 bits, plus the number of windows.
 
     ``docs`` has __doc, __dk and __text. Round one compares runs of windows by their anchor
     symbol and content. Only where a symbol is shared by different contents are the runs' single
@@ -250,7 +253,7 @@ def repeated_windows(docs: DataFrame, *, window: int = 20, hot: int = 64) -> Dat
                 s1, size, name, content = window_runs(piece_hashes(raw, start, end), woff, window)
                 row = np.searchsorted(woff, s1, "right") - 1
                 doc, dk = b.column("__doc").to_numpy()[row], b.column("__dk").to_numpy()[row]
-                yield from combine.add(name, content, doc, dk, (s1 - woff[row]) * 32 + size)
+                yield from combine.add(name, content, doc, dk, (s1 - woff[row] << _BITS) + size)
         yield from combine.flush()
 
     marks = store(_sorted_groups(docs.select("__doc", "__dk", "__text").mapInArrow(runs, _RUNS)).mapInArrow(_judge(True), _MARKS), "marks")
@@ -265,11 +268,11 @@ def repeated_windows(docs: DataFrame, *, window: int = 20, hot: int = 64) -> Dat
                 h = piece_hashes(raw, start, end)
                 lists = b.column("__runs")
                 p, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-                size = p & 31
-                s = np.repeat((p >> 5) + woff[row], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                size = p & _LOW
+                s = np.repeat((p >> _BITS) + woff[row], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 row = np.repeat(row, size)
                 doc, dk = b.column("__doc").to_numpy()[row], b.column("__dk").to_numpy()[row]
-                yield from combine.add(Ranges(h).of(s, s + window), Ranges(h, _Q2).of(s, s + window), doc, dk, (s - woff[row]) * 32 + 1)
+                yield from combine.add(Ranges(h).of(s, s + window), Ranges(h, _Q2).of(s, s + window), doc, dk, (s - woff[row] << _BITS) + 1)
         yield from combine.flush()
 
     edge = docs.select("__doc", "__dk", "__text").join(open_runs, ["__doc", "__dk"]).mapInArrow(single, _RUNS)
@@ -295,6 +298,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and text count as one document; rows that repeat only the id are ordered by a text hash.
     Texts shorter than the window stay whole. Empty tables give an empty result.
     """
+    if not 1 <= window <= _LOW:
+        raise ValueError(f"window must lie between 1 and {_LOW}")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     twice = docs.groupBy(key).count().where("count > 1").limit(1).count() > 0
     base = docs.withColumns({"__doc": key, "__dk": F.xxhash64(F.col(text_col)) if twice else F.lit(0).cast("long"), "__text": F.col(text_col).cast("string")})
@@ -314,8 +319,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     if marks.is_valid and len(found):
                         p = marks.values.to_numpy()
                         edge = np.zeros(len(found) + 1, np.int64)
-                        np.add.at(edge, p >> 5, 1)
-                        np.add.at(edge, (p >> 5) + (p & 31) + window - 1, -1)
+                        np.add.at(edge, p >> _BITS, 1)
+                        np.add.at(edge, (p >> _BITS) + (p & _LOW) + window - 1, -1)
                         stays = np.cumsum(edge[:-1]) == 0
                         removed = int(len(found) - stays.sum())
                         count.append(len(found))

@@ -251,3 +251,41 @@ def test_contract_queries(spark, tmp_path):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op1_substring_dedup(spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op5_minhash(spark, str(tmp_path)).collect()} == brute_classes(rows, 3, 85)
     assert op5_minhash(spark, str(tmp_path)).where(~(F.col("kept") == (F.col("doc_id") == F.col("component_id")))).count() == 0
+
+
+def test_bands_follow_the_threshold():
+    from cairn.llm.neardup import bands_for
+
+    for percent in (50, 60, 80, 85, 95, 100):
+        bands, rows = bands_for(percent)
+        assert bands <= 64 and (1 - (percent / 100) ** rows) ** bands <= 1.0001e-5
+    assert bands_for(85)[1] == bands_for(80)[1] == 6
+
+
+def test_near_duplicates_of_hot_groups_and_low_thresholds(spark):
+    """Copies of one text that differ in a word, more than a block of them, and chains at half similarity."""
+    rng = random.Random(2)
+    text = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(text[:50] + [f"x{k}"])) for k in range(60)] + [(100 + k, " ".join(text[k : k + 30])) for k in range(12)]
+    rows += [(200 + k, " ".join(rng.choice("abcdef") for _ in range(12))) for k in range(80)] + [(300, "p " * 100_000), (301, "p q " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, shingle in ((85, 3), (50, 2)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=shingle, percent=percent, block=16).collect()}
+        assert got == brute_classes(rows, shingle, percent)
+
+
+@pytest.mark.parametrize("window", [1, 31, 32, 50])
+def test_substring_windows_of_any_length(spark, window):
+    rows = list(enumerate(corpus(21, n=40)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in dedup_substrings(df, window=window).collect()} == brute_substrings(rows, window)
+    with pytest.raises(ValueError):
+        dedup_substrings(df, window=1 << 16)
+
+
+def test_vector_query(spark, tmp_path):
+    from cairn.llm.queries import op9_embeddings
+
+    x = clusters(20, 6, 12, 0.08, 3)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in op9_embeddings(spark, str(tmp_path)).collect()} == brute_vectors(x.astype(np.float32))
