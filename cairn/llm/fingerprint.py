@@ -20,30 +20,34 @@ _SMALL = 8
 _SEEDS = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _WINDOW = 8
 _FIRST, _LONGEST = (8, 24, 56), 64
+_RUN = 1 << 15  # a run of one byte is cut only here, so that every length fits its 16 bits
 
 
 def _inner_cuts(raw: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """Points within paragraphs: at their bytes 8, 24 and 56; from there on behind 8 bytes whose
     hash ends in 5 zero bits, and 64 bytes after the last point where none came. They depend on
     the paragraph's bytes before them alone, so equal beginnings are cut alike, and paragraphs
-    that differ meet again. Behind 8 times the same byte there is none: a run of it is one piece."""
+    that differ meet again. Behind 8 times the same byte there is none, but every 32,768 bytes."""
     if len(raw) <= _WINDOW:
         return np.zeros(0, np.int64)
+    first = np.flatnonzero(cut[:-1])
     w = raw.astype(np.uint64)
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << np.uint64(8 * k))
-    first = np.flatnonzero(cut[:-1])
     size = np.diff(np.append(first, len(raw)))
     at = np.flatnonzero((mix(w[:-1] + np.uint64(0x8EBC6AF09C88C6E3)) & np.uint64(31)) == 0) + _WINDOW
     at = at[at - first[np.searchsorted(first, at - 1, "right") - 1] > _FIRST[-1]]
     at = np.concatenate([at, *(first[size > x] + x for x in _FIRST)])
-    edge = np.unique(np.concatenate([at, first]))
-    gap = np.diff(np.append(edge, len(raw)))
-    more = (gap - 1) // _LONGEST
+    at = np.concatenate([at, _steps(np.unique(np.concatenate([at, first])), len(raw), _LONGEST)])
+    at = at[w[at - _WINDOW] != raw[at - 1].astype(np.uint64) * np.uint64(0x0101010101010101)]
+    return np.concatenate([at, _steps(np.unique(np.concatenate([at, first])), len(raw), _RUN)])
+
+
+def _steps(edge: np.ndarray, end: int, size: int) -> np.ndarray:
+    """Points every ``size`` bytes after each edge, up to the next one."""
+    more = (np.diff(np.append(edge, end)) - 1) // size
     start = np.repeat(edge, more)
-    turn = np.arange(len(start)) - np.repeat(np.cumsum(more) - more, more) + 1
-    at = np.concatenate([at, start + turn * _LONGEST])
-    return at[w[at - _WINDOW] != raw[at - 1].astype(np.uint64) * np.uint64(0x0101010101010101)]
+    return start + (np.arange(len(start)) - np.repeat(np.cumsum(more) - more, more) + 1) * size
 
 
 def paragraph_digests(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +55,8 @@ def paragraph_digests(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
 
     A paragraph ends after a newline or after the space behind a sentence's end, and at the points
     within that ``_inner_cuts`` finds. A repeated one is told apart by its occurrence number. The
-    low 16 bits of a digest hold the paragraph's length in bytes (65,535 at most), so that
-    recovered digests can be weighed.
+    low 16 bits of a digest hold the paragraph's length in bytes (no piece is longer than 32,768), so
+    that recovered digests can be weighed.
     """
     n = len(raw)
     cut = np.zeros(n + 1, bool)
@@ -73,7 +77,7 @@ def paragraph_digests(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.
     at = np.arange(len(h))
     turn = at - np.maximum.accumulate(np.where(same, 0, at))
     h = mix(h + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (h & ~np.uint64(0xFFFF)) | np.minimum(size, 65535).astype(np.uint64), np.searchsorted(doc, np.arange(len(off)))
+    return (h & ~np.uint64(0xFFFF)) | size.astype(np.uint64), np.searchsorted(doc, np.arange(len(off)))
 
 
 def _check(key: np.ndarray) -> np.ndarray:
@@ -92,7 +96,6 @@ class Cells:
         self.base = np.concatenate([[0], np.cumsum(self.m)])
         n = int(self.base[-1])
         self.count, self.key, self.check = np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint32)
-        self.known: tuple[np.ndarray, np.ndarray] | None = None  # what a whole peel gave before
 
     def add(self, doc: np.ndarray, key: np.ndarray, sign: np.ndarray | int = 1) -> None:
         check = _check(key)
@@ -115,12 +118,7 @@ class Cells:
 
     def listed(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All keys of documents that peel whole: (position in ``docs``, key)."""
-        if self.known is None:
-            return self.folded(docs, self.m[docs]).peel()[:2]
-        keys, off = self.known
-        size = np.diff(off)[docs]
-        at = np.repeat(off[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.repeat(np.arange(len(docs)), size), keys[at]
+        return self.folded(docs, self.m[docs]).peel()[:2]
 
     def minus(self, other: "Cells") -> "Cells":
         self.count = self.count - other.count
@@ -179,7 +177,6 @@ class Sketches:
             m[todo] *= 2
         self.cells = Cells(m)
         self.cells.add(doc, self.keys)
-        self.cells.known = self.keys, self.off
 
     def text(self, i: int) -> str:
         c, a, b = self.cells, int(self.cells.base[i]), int(self.cells.base[i + 1])
@@ -241,21 +238,22 @@ def fingerprints(texts: list[str]) -> list[str]:
     return [s.text(k) for k in range(len(texts))]
 
 
-def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 5000) -> DataFrame:
+def edit_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_a_part: int = 5000, most_parts: int = 20_000) -> DataFrame:
     """Fingerprints of every text and of an edited version, with their likenesses.
 
     The edited text has its last floor(n/2) code points replaced by as many first ones (or all)
     of the next document in descending id order; the last document's next is the first.
     Documents are range-partitioned at cut points of the id column, and each range also gets a
     copy of the following range's first row, so the texts are shuffled once and every partition
-    is streamed with one row of look-ahead.
+    is streamed with one row of look-ahead. Ranges hold ``rows_a_part`` rows, or more where they
+    would be over ``most_parts``: the driver and every task keep one number a range.
 
     Returns doc_id, n_chars, edited (text), fingerprint, edited_fingerprint, near_edited and
     near_next. Null text: empty. Null ids come last. Rows that repeat an id follow in text order;
     a single row is its own next. Empty tables give no row. Other columns are not read.
     """
     src = docs.select(null_safe_long(id_col, MISSING).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bounds = range_bounds(src, "k", max(1, -(-src.count() // rows_a_part)))
+    bounds = range_bounds(src, "k", max(1, min(most_parts, -(-src.count() // rows_a_part))))
     parts = len(bounds) + 1
 
     def part_of(k: np.ndarray) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,7 @@ _NAME = re.compile(
 )
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 STOP_WORDS = frozenset(
     """the of and to in a is that for it as was with be by on not he i this are or his from at which but have an had they you were their one all we can her has there been if more when will would who so no she about up out them some its than then into only other
     le la les de des du un une et est en que qui dans pour pas sur au aux par il elle ce cette ces son sa ses ne se ou mais avec plus sont comme nous vous leur
@@ -36,7 +38,7 @@ STOP_WORDS = frozenset(
     el los las del y que en un una es se no por con para su al lo como más o pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante
     il lo gli dei delle che di è per non con una sono della nel alla ma ha si come più anche o da os as um uma não do da dos em ao mais foi het een van ik te dat die niet zijn op aan met""".split()
 )
-SHORT, MEDIUM, STOP_HIGH, STOP_LOW, LINKS = 10, 25, 0.10, 0.05, 0.4
+SHORT, MEDIUM, STOP_HIGH, STOP_LOW, LINKS, MENU = 10, 25, 0.10, 0.05, 0.4, 3
 
 
 @dataclass
@@ -66,12 +68,18 @@ def _hinted(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+def _words(text: str) -> int:
+    """Words between white space; of scripts without spaces two characters count as one."""
+    return len(text.split()) + (len(_UNSPACED.findall(text)) // 2 if not text.isascii() else 0)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order. A broken page (unclosed or stray tags, cut-off comments) is read as far as it makes sense."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, int]] = []
     heading, links, outer, box, boxes = 0, 0, 0, 0, 0
+    opened: Counter[str] = Counter()  # how many elements of a name are open
     at, size = 0, len(page)
 
     def close() -> None:
@@ -79,13 +87,14 @@ def blocks_of(page: str) -> list[Block]:
             return
         text = _SPACE.sub(" ", "".join(t for t, _ in parts)).strip()
         if text:
-            linked = sum(len(t.split()) for t, a in parts if a)
-            out.append(Block(text, len(text.split()), linked, heading > 0, outer > 0, box))
+            linked = sum(_words(t) for t, a in parts if a)
+            out.append(Block(text, _words(text), linked, heading > 0, outer > 0, box))
         parts.clear()
 
     def pop() -> None:
         nonlocal heading, links, outer, box
         tag, bad, was = stack.pop()
+        opened[tag] -= 1
         heading -= tag in _HEADING
         links -= tag == "a"
         outer -= bad
@@ -108,7 +117,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _BLOCK:
             close()
         if m.group(1):
-            if any(t == tag for t, _, _ in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -126,10 +135,10 @@ def blocks_of(page: str) -> list[Block]:
                     at = size
             continue
         if tag in _BOX:
-            while stack and any(bad for _, bad, _ in stack) and not any(t in _BOX for t, _, _ in stack):
+            while stack and outer and not any(opened[t] for t in _BOX):
                 pop()  # a box beside the article that was left open doesn't swallow it
         if tag in _CLOSES_P:
-            while any(t == "p" for t, _, _ in stack):
+            while opened["p"]:
                 pop()
         elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
@@ -137,6 +146,7 @@ def blocks_of(page: str) -> list[Block]:
                 pop()
         bad = _hinted(tag, m.group(3), box > 0)
         stack.append((tag, bad, box))
+        opened[tag] += 1
         heading += tag in _HEADING
         links += tag == "a"
         outer += bad
@@ -148,10 +158,15 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _first_pass(b: Block, stop_words: frozenset) -> str:
-    """good, bad, near (looks like text, not surely) or short."""
-    if b.outer or b.linked > LINKS * b.words and (b.linked > 2 or not b.box):
+    """good, bad, near (looks like text, not surely), short, or links (mostly linked, within an article)."""
+    if b.outer:
         return "bad"
-    if "©" in b.text and b.words < MEDIUM:
+    if b.linked > LINKS * b.words:
+        if not b.box:
+            return "bad"
+        if b.linked > 2:
+            return "links"
+    if "©" in b.text and b.words < MEDIUM and (not b.box or b.text.startswith("©")):
         return "bad"
     if b.heading or b.words < SHORT:
         return "short"
@@ -161,7 +176,19 @@ def _first_pass(b: Block, stop_words: frozenset) -> str:
         return "good" if b.words >= MEDIUM else "near"
     if density >= STOP_LOW:
         return "near"
-    return "short" if b.words < MEDIUM or b.box else "bad"
+    return "short" if b.words < MEDIUM or b.box else "strange"
+
+
+def _decide_links(first: list[str], blocks: list[Block]) -> None:
+    """Three or more blocks of links in a row are a menu; fewer are ambiguous, like short ones."""
+    k = 0
+    while k < len(first):
+        end = k
+        while end < len(first) and first[end] == "links" and blocks[end].box == blocks[k].box:
+            end += 1
+        if end > k:
+            first[k:end] = ["bad" if end - k >= MENU else "near"] * (end - k)
+        k = max(end, k + 1)
 
 
 def main_text(page: str | None, stop_words: frozenset = STOP_WORDS) -> str:
@@ -172,9 +199,15 @@ def main_text(page: str | None, stop_words: frozenset = STOP_WORDS) -> str:
     neighbours within its article (or within the page, outside any): good if both sides agree, and
     where they differ the nearer by words wins, near blocks lean to good and headings look ahead.
     Blocks of an article without any decided block are good; elsewhere short ones are then bad.
+    Within an article, links alone don't decide unless three or more blocks of them follow each other.
+    A page without an article in which no block has the density of a known language is judged by length
+    and links alone.
     """
     blocks = blocks_of(page or "")
     first = [_first_pass(b, stop_words) for b in blocks]
+    _decide_links(first, blocks)
+    unknown = "good" if not any(f == "good" or b.box and f != "bad" for f, b in zip(first, blocks)) else "bad"
+    first = [unknown if f == "strange" else f for f in first]
     if any(f != "bad" and b.box for f, b in zip(first, blocks)):  # a page with an article has its text there
         first = ["bad" if not b.box else f for f, b in zip(first, blocks)]
     keep = []

@@ -25,8 +25,8 @@ def _contexts(raw: np.ndarray, off: np.ndarray, symbol: np.ndarray) -> list[np.n
     return [padded[at - k] for k in range(ORDER + 1)]
 
 
-class PpmModel:
-    """Frozen byte context trees of all languages, flattened to one table of code lengths.
+class _Trees:
+    """Frozen byte context trees of a few languages, flattened to one table of code lengths.
 
     Context nodes of orders 0 to 3 are rows. A row holds, for each next byte and language, the
     code length in 1/65,536 bit: method C, count / (total + distinct) for a byte seen in the
@@ -41,9 +41,9 @@ class PpmModel:
         for docs in texts.values():
             for t in docs:
                 seen[np.frombuffer(t, np.uint8)] = True
-        self.symbol = np.zeros(256, np.int32)
+        self.symbol = np.full(256, int(seen.sum()) + 1, np.int32)  # bytes never seen; 0 stands before a text
         self.symbol[seen] = np.arange(1, seen.sum() + 1)
-        a = self.a = int(seen.sum()) + 1
+        a = self.a = int(seen.sum()) + 2
         streams = []
         for lang in self.langs:
             off = np.concatenate([[0], np.cumsum([len(t) for t in texts[lang]])]).astype(np.int64)
@@ -89,6 +89,28 @@ class PpmModel:
         return out
 
 
+class PpmModel:
+    """Context trees of all languages, ``together`` languages a table.
+
+    A table has a row for every context that one of its languages knows and a column for each of
+    them, so a table a few languages keeps the size in proportion to their number.
+    """
+
+    def __init__(self, texts: dict[str, list[bytes]], together: int = 4, max_bytes: int = 1 << 29) -> None:
+        self.langs = sorted(texts)
+        self.trees: list[_Trees] = []
+        size = 0
+        for k in range(0, len(self.langs), together):
+            self.trees.append(_Trees({lang: texts[lang] for lang in self.langs[k : k + together]}))
+            size += self.trees[-1].code.nbytes + self.trees[-1].row.nbytes
+            if size > max_bytes:
+                raise ValueError(f"the model of {len(self.langs)} languages takes more than {max_bytes} bytes; teach it fewer or shorter texts")
+
+    def lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Exact code length of every text under every language, in 1/65,536 bit."""
+        return np.hstack([t.lengths(raw, off) for t in self.trees]) if self.trees else np.zeros((len(off) - 1, 0), np.int64)
+
+
 def has_letter(raw: np.ndarray, off: np.ndarray, col: pa.Array) -> np.ndarray:
     low = raw | 32
     ahead = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
@@ -103,11 +125,12 @@ def _bucket(id_col: str):
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_lang: int = 150, max_bytes: int = 30_000, max_langs: int = 500) -> PpmModel:
-    """Frozen model from a bounded sample: about ``rows_a_lang`` whole texts of at most
-    ``max_bytes`` bytes a language, picked by a hash of the id among rows with a language whose
-    crc32(id as text) mod 4 is not 2. Null texts, languages and ids are not learned from."""
+    """Frozen model from a bounded sample: about ``rows_a_lang`` texts a language, picked by a hash of
+    the id among rows with a language whose crc32(id as text) mod 4 is not 2. Of a text above
+    ``max_bytes`` bytes a stretch of so many at a place given by the hash teaches. Null texts,
+    languages and ids are not learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), _bucket(id_col).alias("b"))
-    rows = rows.where((F.col("b") != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+    rows = rows.where((F.col("b") != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
@@ -117,7 +140,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         picked |= (F.col("lang") == r.lang) & (F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000 + 1)))
     texts: dict[str, list[bytes]] = {r.lang: [] for r in counts}
     if counts:
-        for r in rows.where(picked).select("lang", "id", "text").orderBy("lang", "id", "text").collect():
+        most = max_bytes // 4  # code points
+        start = F.pmod(F.xxhash64("id", F.lit(23)), F.greatest(F.length("text") - most + 1, F.lit(1))).cast("int") + 1
+        taught = F.when(F.octet_length("text") > max_bytes, F.col("text").substr(start, F.lit(most))).otherwise(F.col("text"))
+        for r in rows.where(picked).select("lang", "id", taught.alias("text")).orderBy("lang", "id", "text").collect():
             texts[r.lang].append(r.text.encode())
     return PpmModel({k: v for k, v in texts.items() if v})
 

@@ -17,7 +17,8 @@ from .common import steps
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
-_CACHE = 500_000
+_CACHE = 64 << 20  # bytes of words and ids that a worker keeps, about
+_KEPT = 64  # longer words (a text without spaces is one) are not kept
 
 
 def default_model() -> str:
@@ -26,6 +27,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _size(item: tuple[str, bytes]) -> int:
+    return 200 + 2 * len(item[0]) + len(item[1])
+
+
 class PieceEncoder:
     """Exact ids of a SentencePiece BPE model with byte fallback.
 
@@ -60,6 +65,7 @@ class PieceEncoder:
         self.lengths = {end: tuple(sorted(n, reverse=True)) for end, n in lengths.items()}
         self.allowed: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.spare = [np.int32(lib.piece_to_id(f"<0x{b:02X}>")).astype("<i4").tobytes() for b in range(256)]
         self.spell = [lib.id_to_piece(i).replace(MARK, " ").encode() for i in range(lib.vocab_size())]
         for b in range(256):
@@ -162,11 +168,19 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         marked = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         words = set().union(*marked)
-        if len(self.cache) + len(words) > _CACHE:
+        new = words - self.cache.keys()
+        if self.held > _CACHE:
             self.cache = {w: v for w in words if (v := self.cache.get(w)) is not None}
-        self.learn(words - self.cache.keys())
+            self.held = sum(map(_size, self.cache.items()))
+        self.learn(new)
         get = self.cache.__getitem__
-        return [b"".join(map(get, m)) for m in marked]
+        out = [b"".join(map(get, m)) for m in marked]
+        for w in new:
+            if len(w) > _KEPT:
+                del self.cache[w]
+            else:
+                self.held += _size((w, get(w)))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         spell = self.spell
@@ -187,7 +201,7 @@ def _with(df: DataFrame, source: str, target: str, kind: T.DataType) -> tuple[Da
 def encode(docs: DataFrame, *, text_col: str = "text", out_col: str = "ids", model: str | None = None) -> DataFrame:
     """``docs`` with ``out_col``: the ids of every whole text (array<int>; empty for null or empty text).
 
-    Each Python worker keeps up to 500,000 encoded words; distinct new words of a step are encoded
+    Each Python worker keeps encoded words of up to 64 characters, about 64 MB; distinct new words of a step are encoded
     together. Rows are independent; a column named ``out_col`` is replaced.
     """
     path = model or default_model()

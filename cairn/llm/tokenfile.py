@@ -71,11 +71,18 @@ def _flat(raw: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, "<u2").astype("<u4")
 
 
-def write_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, rows_a_shard: int = 4000, target: str | None = None) -> tuple[str, list, np.ndarray]:
+def _files(target: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, on driver and executors alike: local, HDFS or an object store, whose
+    Hadoop names stand for the same one here."""
+    scheme, mark, rest = target.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}.get(scheme, scheme) + mark + rest)
+
+
+def write_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, rows_a_shard: int = 4000, most_shards: int = 20_000, target: str | None = None) -> tuple[str, list, np.ndarray]:
     """Encode all texts and write them as shards in ascending ``id_col`` order.
 
-    Documents are range-partitioned on cut points of the id column (one row a shard reaches the
-    driver), sorted within a shard and streamed to it block by block. A task writes under its
+    Documents are range-partitioned on cut points of the id column (``rows_a_shard`` rows each, or
+    more where they would be over ``most_shards``; one row a shard reaches the driver), sorted within a shard and streamed to it block by block. A task writes under its
     attempt's name, and the manifest names the attempt that counted, so lost or repeated tasks
     do no harm. Returns the folder, the manifest rows and the rank-to-id table (the vocabulary's
     size at most). Null text: the end id alone. Null ids come first and read back as null.
@@ -84,7 +91,7 @@ def write_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     target = target or new_path(spark, "idfile")
     src = docs.select(null_safe_long(id_col, MISSING).alias("doc_id"), F.col(text_col).alias("text"))
     count = src.count()
-    shards = max(1, -(-count // rows_a_shard))
+    shards = max(1, min(most_shards, -(-count // rows_a_shard)))
     bounds = range_bounds(src, "doc_id", shards)
     shards, schema = len(bounds) + 1, arrow_schema(_IDS)
 
@@ -125,7 +132,7 @@ def write_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name, out, docs_n, ids_n = f"shard-{task.partitionId():08d}-{task.taskAttemptId()}.bin", None, 0, 0
-        files, root = fs.FileSystem.from_uri(target)
+        files, root = _files(target)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -156,7 +163,7 @@ def read_ids(spark, target: str, manifest: list, order: np.ndarray) -> DataFrame
     schema = arrow_schema(_DOCS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = fs.FileSystem.from_uri(target)
+        files, root = _files(target)
         for b in batches:
             for name, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with files.open_input_stream(posixpath.join(root, name)) as f:

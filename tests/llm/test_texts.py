@@ -15,8 +15,9 @@ from cairn.llm.toxicity import classify, counted, features, label_categories, to
 
 
 def pieces_of(text):
-    count = Counter(p for p in re.findall(r".*?(?:\n|[.!?] |$)", text, re.S) if p)
-    return {(p, k): min(len(p.encode()), 65535) for p, n in count.items() for k in range(n)}
+    found = [p for p in re.findall(r".*?(?:\n|[.!?] |$)", text, re.S) if p]
+    count = Counter(p[k : k + 32768] for p in found for k in range(0, len(p), 32768))  # a run of one letter
+    return {(p, k): len(p.encode()) for p, n in count.items() for k in range(n)}
 
 
 def brute_likeness(a, b):
@@ -185,6 +186,107 @@ def test_html_without_article():
     assert got.startswith("Head\n\n" + LONG + "\n\nYes.\n\n" + LONG) and "one" not in got and " b " not in got
 
 
+def test_html_article_keeps_linked_lines_and_credits():
+    see = '<p><a href="r">See the full report of the committee here</a></p>'
+    page = f"<article><p>{LONG}</p>{see}<p>Photo © Jane Doe, the archive</p><p>{LONG}</p><ul><li><a href=a>One more story here</a></li><li><a href=b>Two more stories here</a></li><li><a href=c>Three more stories here</a></li></ul><p>© 2024 The Site</p></article>"
+    assert main_text(page) == "\n\n".join([LONG, "See the full report of the committee here", "Photo © Jane Doe, the archive", LONG])
+
+
+@pytest.mark.parametrize("line", ["Это длинный русский абзац о погоде и природе " * 5, "這是一個沒有空格的長段落講述天氣和自然以及很多其他的事情" * 3, "Αυτό είναι ένα μεγάλο κείμενο για τον καιρό " * 5])
+def test_html_of_other_languages(line):
+    page = f"<body><div><a href=x>{line[:20]}</a> <a href=y>{line[:20]}</a></div><p>{line}</p><p>{line}</p><footer>{line}</footer></body>"
+    assert main_text(page) == "\n\n".join([line.strip()] * 2)
+
+
+def test_html_of_unclosed_markup_is_linear():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        blocks_of("<article>" + "<span><p>word " * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 25 * max(took(4000), 0.02)
+
+
+def test_queries_over_small_tables(spark, tmp_path):
+    """Operators 3, 4, 6 and 7 as registered, against the plain rules, with nulls and repeated rows."""
+    from sentencepiece import SentencePieceProcessor
+
+    from cairn.llm.pieces import default_model
+    from cairn.llm.queries import op3_sentencepiece, op4_language_id, op6_html_text, op7_toxicity
+
+    rng = random.Random(9)
+    rows = [(i, speech(lang, rng, rng.randrange(5, 40)), lang) for i, lang in enumerate(rng.choice(list(SYLLABLES)) for _ in range(150))]
+    rows += [(500, None, "en"), (501, "", None), (502, "1 2 3", "fr"), (503, "bad horrid " + rows[3][1], None), (7, rows[7][1], rows[7][2])]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 > 0), int(i % 4 == 0)) for i in range(100)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    library = SentencePieceProcessor(model_file=default_model())
+    coded = {(r.doc_id, tuple(r.ids), r.decoded_sha256) for r in op3_sentencepiece(spark, str(tmp_path)).collect()}
+    assert coded == {(i, tuple(library.encode(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in rows}
+    import zlib
+
+    taught: dict[str, list[bytes]] = {}
+    for i, t, lang in rows:
+        if t is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            taught.setdefault(lang, []).append(t.encode())
+    want = []
+    for i, t, _ in rows:
+        bits = {lang: plain_bits(docs, (t or "").encode()) for lang, docs in taught.items()}
+        want.append((i, min(bits, key=lambda k: (round(bits[k], 3), k)) if any(map(str.isalpha, t or "")) else "und"))
+    assert sorted((r.doc_id, r.lang_pred) for r in op4_language_id(spark, str(tmp_path)).collect()) == sorted(want)
+    html = [(1, "u", f"<article><p>{LONG}"), (2, "v", None), (2, "v", ""), (3, None, f"<nav>x</nav><p>{LONG}</p>")]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in op6_html_text(spark, str(tmp_path)).collect()) == sorted((i, main_text(h), len(main_text(h))) for i, _, h in html)
+    got = op7_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, *_ in rows) and all(0 <= r.p_toxic <= 1 and r.toxic == (r.p_toxic >= 0.5) for r in got)
+
+
+def plain_bits(docs, text):
+    """Code length by the recursion over contexts of orders 3 to 0, method C."""
+    counts = [{} for _ in range(4)]
+    for t in docs:
+        p = [None] * 3 + list(t)
+        for i in range(3, len(p)):
+            for k in range(4):
+                seen = counts[k].setdefault(tuple(p[i - k : i]), Counter())
+                seen[p[i]] += 1
+    p, total = [None] * 3 + list(text), 0.0
+    for i in range(3, len(p)):
+        chance, escape = 1 / 256, 1.0
+        for k in range(3, -1, -1):
+            seen = counts[k].get(tuple(p[i - k : i]))
+            if seen and (n := seen[p[i]] if p[i] in seen else 0):
+                chance = n / (seen.total() + len(seen))
+                break
+            if seen:
+                escape *= len(seen) / (seen.total() + len(seen))
+        total -= np.log2(chance * escape)
+    return total
+
+
+def test_language_of_long_texts_alone_is_learned(spark):
+    rng = random.Random(3)
+    long = [(i, speech("fr", rng, 4000), "fr") for i in range(30)]
+    short = [(100 + i, speech("en", rng, 40), "en") for i in range(60)]
+    got = {r.doc_id: r.lang_pred for r in language_id(spark.createDataFrame(long + short, "doc_id long, text string, lang string"), max_bytes=8000).collect()}
+    assert all(got[i] == lang for i, _, lang in long + short)
+
+
+def test_many_languages_share_no_table():
+    names = [f"l{k}" for k in range(9)]
+    texts = {n: [" ".join(random.Random(n).choices([chr(97 + (k * 5 + j) % 26) * 2 for j in range(6)], k=50)).encode()] for k, n in enumerate(names)}
+    model = PpmModel(texts)
+    assert len(model.trees) == 3 and model.langs == names
+    raw = np.frombuffer(b"".join(t[0] for t in texts.values()), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t[0]) for t in texts.values()])])
+    assert model.lengths(raw, off).argmin(1).tolist() == list(range(9))
+    assert abs(model.lengths(raw, off)[2, 4] / 65536 - plain_bits(texts["l4"], texts["l2"][0])) < 0.1
+    with pytest.raises(ValueError):
+        PpmModel(texts, max_bytes=1000)
+
+
 @pytest.mark.parametrize(
     "page,text",
     [(None, ""), ("", ""), ("   ", ""), ("<p>", ""), ("<article><p>Tiny", "Tiny"), ("<div class='ad'>x<article><p>Kept</p></article>", "Kept"), ("<article><p>a<p>b</article>", "a\n\nb"), ("<article>x<script>y", "x"), ("<article>1 &lt; 2 <b>b</b>old</article>", "1 < 2 bold"), ("<article><p title='a > b'>t</p></article>", "t"), ("<!-- open <article>x", "")],
