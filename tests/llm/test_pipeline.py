@@ -78,6 +78,36 @@ def test_language_stage_keeps_labelled_rows(spark):
     assert corpus_pipeline.reject_foreign(spark, docs, "").count() == docs.count()
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ("__text", "__doc", "toxic", "p_toxic", "lang_pred", "score", "words", "kept", "row", "n_words", "component_id", "ids", "start")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_edges(spark, tables, name, stage):
+    """Empty tables, columns with the stages' own names, nulls in every column, very long and repeated rows."""
+    folder, docs, _ = tables
+    empty = stage(spark, spark.createDataFrame([], SCHEMA), folder)
+    assert empty.count() == 0
+    odd = [(None, docs[0][1], None, None, None), (None, None, None, None, None), (1, docs[1][1], None, "s", 1), (1, docs[1][1], None, "s", 1), (2, "", "en", "s", 0), (3, (docs[3][1] + " ") * 3000, "en", "s", 9)]
+    plain = spark.createDataFrame([r for r in docs[:60]] + odd, SCHEMA)
+    wide = plain.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+    columns = list(corpus_pipeline.COLUMNS) if name != "packing" else ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    got, same = stage(spark, wide, folder), stage(spark, plain, folder)
+    assert got.columns == same.columns == columns
+    if name == "packing":
+        columns = ["doc_id", "doc_tokens"]
+    order = lambda df: sorted(map(str, df.select(*columns).distinct().collect()))
+    assert order(got) == order(same)
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = "one two three four five six seven eight"
+    rows = [(5, text), (5, text), (None, text), (4, text.upper()), (4, "other words stand in this row of the table"), (None, "no id but words of its own are here"), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == [(-1, rows[5][1]), (4, text.upper()), (4, rows[4][1]), (6, ""), (6, ""), (7, "")]
+
+
 def test_registered():
     import __spark_entry__
 
