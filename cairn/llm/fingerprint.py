@@ -96,6 +96,7 @@ class Cells:
         self.base = np.concatenate([[0], np.cumsum(self.m)])
         n = int(self.base[-1])
         self.count, self.key, self.check = np.zeros(n, np.int32), np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.peeled: tuple[np.ndarray, np.ndarray] | None = None  # keys of whole peels, by document, and n+1 offsets
 
     def add(self, doc: np.ndarray, key: np.ndarray, sign: np.ndarray | int = 1) -> None:
         check = _check(key)
@@ -118,7 +119,12 @@ class Cells:
 
     def listed(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All keys of documents that peel whole: (position in ``docs``, key)."""
-        return self.folded(docs, self.m[docs]).peel()[:2]
+        if self.peeled is None:
+            return self.folded(docs, self.m[docs]).peel()[:2]
+        keys, off = self.peeled
+        size = np.diff(off)[docs]
+        at = np.repeat(off[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(docs)), size), keys[at]
 
     def minus(self, other: "Cells") -> "Cells":
         self.count = self.count - other.count
@@ -166,17 +172,22 @@ class Sketches:
         doc = np.repeat(np.arange(len(n)), n)
         np.add.at(self.length, doc, (self.keys & np.uint64(0xFFFF)).astype(np.int64))
         m = np.maximum(_SMALL, 1 << np.ceil(np.log2(np.maximum(n, 1) * 1.25)).astype(np.int64))
-        todo = np.arange(len(n))
+        todo, got = np.arange(len(n)), []
         while len(todo):  # retry larger on failure
             trial = Cells(m[todo])
             local = np.full(len(n), -1)
             local[todo] = np.arange(len(todo))
             mine = local[doc] >= 0
             trial.add(local[doc[mine]], self.keys[mine])
-            todo = todo[~trial.peel()[3]]
+            row, key, _, good = trial.peel()
+            got.append((todo[row[good[row]]], key[good[row]]))
+            todo = todo[~good]
             m[todo] *= 2
         self.cells = Cells(m)
         self.cells.add(doc, self.keys)
+        row, key = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64), self.keys)
+        order = np.argsort(row, kind="stable")
+        self.cells.peeled = key[order], np.searchsorted(row[order], np.arange(len(n) + 1))
 
     def text(self, i: int) -> str:
         c, a, b = self.cells, int(self.cells.base[i]), int(self.cells.base[i + 1])
