@@ -17,12 +17,14 @@ def admit(requests: DataFrame, limits: DataFrame, *, order: str, ns: str = "ns",
     running total can't express it. The checks are blob_count (count >= limit), bytes (total > limit)
     and blob_size (size > limit), where 0 or null is unlimited. Rows stream through sorted
     partitions with the usage as the only state, so one large namespace needs time but no memory.
+    They are partitioned by a hash of the namespace: a repartition by the join's own key would be
+    planned away, and the join's partitions may be read in pieces once it has become a broadcast.
 
     ``limits``: ns, max_blob_count, max_bytes, max_blob_size, and optionally used_count and used_bytes.
     """
     names = ["max_blob_count", "max_bytes", "max_blob_size", "used_count", "used_bytes"]
     known = limits.select(ns, *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(f"__{c}") if c in limits.columns else F.lit(0).cast("long").alias(f"__{c}") for c in names])
-    rows = requests.join(known, ns, "left").repartition(ns).sortWithinPartitions(ns, order)
+    rows = requests.join(known, ns, "left").repartition(F.xxhash64(ns)).sortWithinPartitions(ns, order)
     keep = list(requests.columns)
     out = T.StructType([*requests.schema.fields, T.StructField("reason", T.StringType())])
 

@@ -210,6 +210,21 @@ def test_catalog(spark):
     assert catalog.catalog_view(refs).first().title == "T"
 
 
+def test_quota_sees_a_namespace_whole(spark):
+    """The join starts as a sort-merge join and becomes a broadcast at run time, with its left side read locally."""
+    ask = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("a"), F.col("id") % 2).alias("ns"), "id", F.lit(1).cast("long").alias("size"))
+    limits = ask.select("ns").distinct().select("ns", F.lit(100).alias("max_blob_count"), F.lit(0).alias("max_bytes"), F.lit(0).alias("max_blob_size"))
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        assert rows(quota.admit(ask, limits, order="id").where("reason is null"), "id") == [(i,) for i in range(200)]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_quota(spark):
     asked = spark.createDataFrame([("a", 1, 60), ("a", 2, 60), ("a", 3, 30), ("a", 4, 5), ("b", 1, 10**9), ("c", 1, 40)], "ns string, t int, size long")
     limits = spark.createDataFrame([("a", 2, 100, 50), ("b", 0, 0, 0), ("c", 1, 0, 50)], "ns string, max_blob_count long, max_bytes long, max_blob_size long")
