@@ -33,9 +33,13 @@ def verify(refs: DataFrame, manifest: DataFrame, stored: DataFrame) -> DataFrame
     """All violations (ns, key, seq, chunk_id, reason): missing manifest or chunk, CRC or hash mismatch.
 
     Every stored chunk is hashed once, whatever the number of references; only bad ones are
-    joined back to keys.
+    joined back to keys. An object without bytes (where ``refs`` has the size) or content (null
+    id) has no chunk, and so no manifest that could be missing.
     """
-    lost = refs.join(manifest.select("ns", "blob_id"), ["ns", "blob_id"], "left_anti").select("ns", "key", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("chunk_id"), F.lit("manifest missing").alias("reason"))
+    some = refs.where(F.col("blob_id").isNotNull())
+    if "size" in refs.columns:
+        some = some.where(F.coalesce("size", F.lit(-1)) != 0)
+    lost = some.join(manifest.select("ns", "blob_id"), ["ns", "blob_id"], "left_anti").select("ns", "key", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("string").alias("chunk_id"), F.lit("manifest missing").alias("reason"))
     wanted = reachable(refs, manifest)
     crc = F.crc32("payload") != F.col("crc32")
     sha = F.concat(F.lit("sha256:"), F.sha2("payload", 256)) != F.col("chunk_id")
