@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 DEFAULT_AVERAGE = 256 * 1024
+_ROWS, _BYTES = 8192, 8 << 20  # of one batch that goes out
 _GEAR = np.random.default_rng(0x5EED).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -62,7 +63,7 @@ class Chunker:
             ends.append(n)
         return np.array(ends, np.int64)
 
-    def _candidates(self, raw: np.ndarray, span: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, raw: np.ndarray, span: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         bits = max(1, int(self.average).bit_length() - 1)
         tight, wide = min(bits + 2, 62), max(bits - 2, 1)
         strict, loose = [], []
@@ -86,7 +87,8 @@ class Chunker:
 def content_chunks(objects: DataFrame, average: int = DEFAULT_AVERAGE, content: str = "content", with_payload: bool = True) -> DataFrame:
     """Content-defined chunks of every object: the other columns, seq, offset, length, chunk_id, payload.
 
-    Arrow batches stream through; an object is chunked where it lies, nothing is shuffled. Null and
+    Arrow batches stream through; an object is chunked where it lies, nothing is shuffled. What a task
+    holds besides its batch is bounded: rows go out at _ROWS chunks or _BYTES of payload. Null and
     empty contents give no chunk.
     """
     chunker = Chunker(average)
@@ -94,29 +96,32 @@ def content_chunks(objects: DataFrame, average: int = DEFAULT_AVERAGE, content:
     base = objects.select(*rest, content)
     fields = [*base.schema.fields[:-1], T.StructField("seq", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("chunk_id", T.StringType())]
     out = T.StructType([*fields, T.StructField("payload", T.BinaryType())] if with_payload else fields)
+    width = 5 if with_payload else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, cols, size = [], [[], [], [], [], []], 0
+            row, cols, size = [], [[] for _ in range(width)], 0
 
             def flush():
                 own = [b.column(i).take(pa.array(row, pa.int64())) for i in range(len(rest))]
                 made = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                return pa.RecordBatch.from_arrays([*own, *made[: 5 if with_payload else 4]], names=out.names)
+                return pa.RecordBatch.from_arrays([*own, *made], names=out.names)
 
             for i, value in enumerate(b.column(len(rest))):
-                data = value.as_py() if value.is_valid else b""
+                data = memoryview(value.as_buffer()) if value.is_valid else memoryview(b"")
                 at = 0
                 for seq, end in enumerate(chunker.cuts(data).tolist()):
                     part = data[at:end]
-                    for c, v in zip(cols, (seq, at, end - at, "sha256:" + hashlib.sha256(part).hexdigest(), part)):
+                    for c, v in zip(cols, (seq, at, end - at, "sha256:" + hashlib.sha256(part).hexdigest())):
                         c.append(v)
+                    if with_payload:
+                        cols[4].append(bytes(part))
+                        size += end - at
                     row.append(i)
-                    size += end - at
                     at = end
-                    if size > 32 << 20:
+                    if size > _BYTES or len(row) >= _ROWS:
                         yield flush()
-                        row, cols, size = [], [[], [], [], [], []], 0
+                        row, cols, size = [], [[] for _ in range(width)], 0
             if row:
                 yield flush()
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,24 @@ def test_ranges(spark, objects):
     assert rows(chunks.with_offsets(cut.drop("offset"), ["ns", "key"]).where("seq = 3 and key = 'k1'"), "offset") == [(300,)]
 
 
+def test_cdc_batches_are_bounded(spark):
+    """Whatever a batch brings, rows go out a few at a time."""
+
+    class Frame:
+        columns, schema = ["id", "content"], spark.createDataFrame([], "id long, content binary").schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    data = [np.random.default_rng(i).integers(0, 256, 20_000, dtype=np.uint8).tobytes() for i in range(40)]
+    come = pa.RecordBatch.from_pydict({"id": list(range(42)), "content": [*data, b"", None]})
+    for payload in (False, True):
+        out = list(cdc.content_chunks(Frame(), 16, with_payload=payload)(iter([come])))
+        assert sum(b.num_rows for b in out) > 3 * 8192 and max(b.num_rows for b in out) <= 8192
+        every = pa.Table.from_batches(out)
+        assert sum(every["length"].to_pylist()) == 40 * 20_000
+    assert b"".join(every["payload"].to_pylist()) == b"".join(data) and set(every["id"].to_pylist()) == set(range(40))
+
+
 def test_cdc_shares_after_insertion(spark):
     rng = np.random.default_rng(1)
     a = rng.integers(0, 256, 400_000, dtype=np.uint8).tobytes()
