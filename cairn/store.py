@@ -198,7 +198,7 @@ class ObjectStore:
     def _stage(self, table: str, df: DataFrame, base: Version) -> list[str]:
         if table == "chunks":
             per_file = max(1, self.options.segment_size // self.options.chunk_size)
-            return self.log.stage(table, df.sortWithinPartitions("chunk_id"), base.number + 1, options={**_BY_ID, "maxRecordsPerFile": str(per_file)})
+            return self.log.stage(table, df.sortWithinPartitions("ns_uid", "chunk_id"), base.number + 1, options={**_BY_ID, "maxRecordsPerFile": str(per_file)})
         return self.log.stage(table, df, base.number + 1)
 
     def _spaces(self, version: Version) -> dict[str, dict]:
@@ -289,9 +289,13 @@ class ObjectStore:
     # -- statistics and maintenance over all namespaces ----------------------------------------
 
     def _named(self, version: Version, table: str) -> DataFrame:
-        """A table with ``ns`` (name) for the live namespaces."""
+        """A table with ``ns`` (name) for the live namespaces.
+
+        Their names, a row a namespace as in the commit file, go to the rows: nothing tells Spark that
+        they are few, and it would shuffle every payload by namespace to join them.
+        """
         names = self.spark.createDataFrame([(v["uid"], k) for k, v in self._spaces(version).items()], "ns_uid string, ns string")
-        return self.log.table(version, table, SCHEMAS[table]).join(names, "ns_uid")
+        return self.log.table(version, table, SCHEMAS[table]).join(F.broadcast(names), "ns_uid")
 
     def refs(self, version: Version | None = None) -> DataFrame:
         """Current references of all namespaces."""

@@ -31,6 +31,19 @@ def blob(n, seed=0):
     return random.Random(seed).randbytes(n)
 
 
+def test_names_go_to_the_rows(spark, tmp_path):
+    """Neither the check nor the statistics shuffle payloads by namespace."""
+    store = ObjectStore(spark, f"file://{tmp_path}/s", Options(chunk_size=64, fixed=True))
+    store.create_namespace("docs").put("k", b"x" * 1000)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+        for df in (store.verify(), store.stats()):
+            assert "hashpartitioning(ns_uid" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_objects(store, spark):
     ns = store.create_namespace("one")
     data = blob(20_000)
